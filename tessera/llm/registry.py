@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op4_langid, op5_topk, op8_mixing, op9_html, op10_fingerprint
+from . import op1_bpe, op2_jaccard, op3_scoring, op4_langid, op5_topk, op6_chat, op7_substrings, op8_mixing, op9_html, op10_fingerprint
 
-MODULES = (op1_bpe, op4_langid, op5_topk, op8_mixing, op9_html, op10_fingerprint)
+MODULES = (op1_bpe, op2_jaccard, op3_scoring, op4_langid, op5_topk, op6_chat, op7_substrings, op8_mixing, op9_html, op10_fingerprint)
 
 
 def queries():
