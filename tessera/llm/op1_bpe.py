@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents
+from .shared import documents, ship
 
 #: The published split pattern of byte-level BPE vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -180,6 +180,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = True
     also the ids (array<int>), with ``keep_text`` the decoded text.  The
     vocabulary file has a fixed size and is read once, on the driver.
     """
+    ship(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = [pa.field("ids", pa.list_(pa.int32()))] * keep_ids + [pa.field("decoded", pa.string())] * keep_text

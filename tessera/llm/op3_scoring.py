@@ -34,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .op2_jaccard import lowered
 from .packing import by_part, chunked, pack, runs, unpack
-from .shared import documents, hashed_words, mixed, written
+from .shared import documents, hashed_words, mixed, ship, written
 
 #: Words of a chunk; text bytes for each hash range.
-CHUNK, PART_BYTES = 1_500_000, 16_000_000
+CHUNK, PART_BYTES = 750_000, 16_000_000
 #: Bits of the filter for each entry, its probes for one, and its upper size.
 ENTRY_BITS, PROBES, MOST_BITS = 7, 4, 1 << 29
 #: Words that are broadcast with their exact counts, 12 bytes each.
@@ -124,7 +123,7 @@ def counts_by_range(docs: DataFrame, parts: int) -> DataFrame:
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in chunked(batches, CHUNK):
+        for _, words in chunked(batches, CHUNK, lower=True):
             token, before, _ = tokens_of(words)
             del words
             (w, wn), (p, pn) = counted(token), counted(pairs_of(before, token))
@@ -213,7 +212,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.coalesce("text", F.lit(""))).alias("text"), held_out().alias("held_out"))
+    ship(docs.sparkSession)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     size = read.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = 1 << max(4, (size // PART_BYTES).bit_length())
     counts, _ = written(counts_by_range(read.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text"), parts), "lm-counts")
@@ -248,7 +248,7 @@ def score(docs: DataFrame) -> DataFrame:
                 counts[~found] = count_at(bloom.levels(hashes[~found]))
             return counts
 
-        for keys, words in chunked(batches, CHUNK):
+        for keys, words in chunked(batches, CHUNK, lower=True):
             n = np.array([len(w) + 1 for w in words], np.int64)
             token, before, doc = tokens_of(words)
             del words

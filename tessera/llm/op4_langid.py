@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, ship
 
 #: A text's words: runs of letters, lower-cased.
 LETTERS = r"\p{L}+"
@@ -169,6 +169,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, slice_rows: int = 256)
     Returns the columns of ``docs`` and lang_pred, score (the share that the
     winner has of the languages' likelihoods) and bits_per_letter.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(samples)
     names = [n for n in docs.columns]
     at = names.index("text")

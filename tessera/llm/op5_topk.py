@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import ship
+
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 512
 #: How far the lists have been read after each step; what is left is then resolved.
@@ -88,6 +90,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Both tables have vec_id and an integer vector ``v`` (array<long>).  Returns
     query_id, rank, vec_id and score.
     """
+    ship(vectors.sparkSession)
     ready = lambda df: df.where(F.col("vec_id").isNotNull()).select("vec_id", "v", F.size("v").alias("dim"))
     vectors, queries = ready(vectors), ready(queries)
     of = lambda df, size: max(1, -(-df.count() // size))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import by_part, chunked, pack, runs, unpack
-from .shared import documents, hashed_words, mixed
+from .shared import documents, hashed_words, mixed, ship
 
 #: Words of a window.
 WINDOW = 35
@@ -130,6 +130,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, in
     row packs document keys, places in them and the places of windows, and the
     number of buckets; a document is in bucket pmod(key, buckets).
     """
+    ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     cells = min(MOST_CELLS, max(LEAST_CELLS, CELLS_A_WINDOW * total // 6)) // ROWS
     bits = cells.bit_length() - (cells & (cells - 1) == 0)

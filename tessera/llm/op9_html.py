@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import ship
+
 #: Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -213,6 +215,7 @@ def extract(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame, *, slice_rows: int = 128) -> DataFrame:
     """Main text of every ``html``; returns page_id, url, text and n_chars (its code points)."""
+    ship(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,8 +54,11 @@ def by_part(parts: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part), order[edges[part] : edges[part + 1]]
 
 
-def chunked(batches: Iterable, size: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows of (key, text) batches with their words, some ``size`` words at a time; a document is never cut."""
+def chunked(batches: Iterable, size: int, lower: bool = False) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Rows of (key, text) batches with their words, some ``size`` words at a time; a document is never cut.
+
+    Words end at ASCII white space; ``lower`` puts A-Z, and nothing else, in lower case.
+    """
     from .shared import text_bytes
 
     keys, words, held = [], [], 0
@@ -63,7 +66,7 @@ def chunked(batches: Iterable, size: int) -> Iterator[tuple[list, list[list[byte
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             for key, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1))):
-                found = text.split()
+                found = text.lower().split() if lower else text.split()
                 keys.append(key)
                 words.append(found)
                 held += len(found)
