@@ -6,14 +6,15 @@ similarity t share at least l tokens among the first n - ceil(t * n) + l of each
 for any l up to their overlap.  Each document picks l by its estimated cost: the
 frequencies of its prefix tokens (entries to scan), plus the candidates left when
 l tokens must match, each of which costs a verification.  A pair must share as
-many prefix tokens as the larger l of the two.
+many prefix tokens as the smaller l of the two.  Once both sizes are known, the
+overlap o they need is too, and the first n - o + l tokens of each have to share l.
 
 Equal sets are one set from the start.  Tokens that several sets share are grouped
-by hash range.  In two rounds each token's sets are verified against one of them,
-the same for most tokens of a group of copies, so a group of near copies falls
-together after one comparison for each member.  Then all pairs that share enough
-prefix tokens and are not yet in one class are verified; a link within a class
-can't change the classes.  Nothing is capped.
+by hash range.  First each token's sets meet one of them, the same for most tokens
+of a group of copies, so a group of near copies falls together after one
+comparison for each member.  Then all pairs that share enough prefix tokens and are
+not yet in one class are verified; a link within a class can't change the classes.
+Nothing is capped.
 
 Frequencies are counted over all documents, within chunks; the ``MOST_FREQUENT``
 tokens with the highest sums are broadcast.  They affect the order and so the
@@ -21,9 +22,8 @@ cost, never the result.
 
 Defined results: a text without words (or null) has the empty set, links with
 nothing and is its own class; with fewer words than a shingle, the whole sequence
-is the one shingle; rows with one id are documents of that id each; a null id
-takes part and its class is the least non-null id of its class, null if none;
-an empty table gives an empty result; other columns are ignored.
+is the one shingle; rows with one id are documents of that id each; a row with a
+null id takes no part: it has n_shingles 0 and a null class; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,35 +38,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import by_part, chunked, pack, runs, unpack
-from .shared import discard, documents, hashed_words, mixed, written
+from .shared import discard, documents, hashed_words, mixed, ship, written
 
 #: Words of a shingle; similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: Words of a chunk; text bytes for each hash range.
-CHUNK, PART_BYTES = 500_000, 16_000_000
+CHUNK, PART_BYTES = 250_000, 16_000_000
 #: Tokens whose frequency is broadcast (12 bytes each), and the least count in a chunk that is reported.
-MOST_FREQUENT, LEAST_COUNT = 1 << 18, 3
-#: The longest l; the cost of verifying a candidate, in scanned entries.
-MOST_MATCHES, VERIFY_COST = 4, 50.0
-#: Rounds in which each token's sets are compared with one of them.
-ROUNDS = 2
+MOST_FREQUENT, LEAST_COUNT = 1 << 18, 2
+#: The largest l; the costs of verifying a candidate and of one more prefix entry, in scanned entries.
+MOST_MATCHES, VERIFY_COST, ENTRY_COST = 6, 50.0, 8.0
+#: How many more sets have a token, as far as is known, that no chunk has twice.
+UNSEEN = 0.05
 #: Bits of the filter that selects the sets to store for verification.
 FILTER_BITS = 27
 
 _EMPTY = np.empty(0, np.uint64)
 
 
-def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text's lower-cased words."""
-    n = len(words)
+def shingle_sets(words: list[list[bytes]], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text, the sorted hashes of the distinct shingles of its words."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    w = hashed_words([x for doc in words for x in doc])
+    n = len(w)
     if not n:
-        return _EMPTY
-    w = hashed_words(words)
-    k = min(size, n)
-    h = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        h = mixed(h ^ w[i : n - k + 1 + i]) + np.uint64(i + 1)
-    return np.unique(h)
+        return [_EMPTY] * len(words)
+    whole = np.zeros(n, np.uint64)
+    for i in range(min(size, n)):
+        whole[: n - i] = mixed(whole[: n - i] ^ w[i:]) + np.uint64(i + 1)
+    out = []
+    for end, k in zip(np.cumsum(lengths), lengths):
+        if k >= size:
+            out.append(np.unique(whole[end - k : end - size + 1]))
+        elif k:
+            h = np.zeros(1, np.uint64)
+            for i in range(k):
+                h = mixed(h ^ w[end - k + i]) + np.uint64(i + 1)
+            out.append(mixed(h + np.uint64(k)))
+        else:
+            out.append(_EMPTY)
+    return out
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -75,18 +86,13 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def _sets(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Chunks of keys and sets; ASCII letters are lower-cased by :func:`lowered`."""
-    for keys, words in chunked(batches, CHUNK):
-        yield keys, [shingle_set(w) for w in words]
+    """Chunks of keys and sets."""
+    for keys, words in chunked(batches, CHUNK, lower=True):
+        yield keys, shingle_sets(words)
 
 
-def lowered(text):
-    """A-Z in lower case and nothing else, unlike lower()."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def survey(docs: DataFrame, percent: int) -> DataFrame:
-    """One pass: (doc_id, sid, n) of each document and (token, count) of what is frequent in a chunk."""
+def survey(docs: DataFrame) -> DataFrame:
+    """One pass: (key, sid, n) of each document and (token, count) of what is frequent in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sets(batches):
@@ -99,30 +105,32 @@ def survey(docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys + none * m, pa.int64()), pa.array(ids + none * m, pa.int64()), pa.array([len(s) for s in sets] + none * m, pa.int64()),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64))]),
-            ], names=["doc_id", "sid", "n", "token", "count"])
+            ], names=["key", "sid", "n", "token", "count"])
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n long, token long, count long")
+    return docs.mapInArrow(run, "key long, sid long, n long, token long, count long")
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The longest prefix of a set, each token's level (the least l whose prefix has it) and the chosen l."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The longest prefix of a set in order, and the chosen l."""
     n = len(tokens)
     least = -(-n * percent // 100)
-    estimate = np.ones(n, np.int64)
+    estimate = np.full(n, 1 + UNSEEN)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        estimate = np.where(frequent[at] == tokens, counts[at], 1)
+        estimate = np.where(frequent[at] == tokens, counts[at], estimate)
     order = np.lexsort((tokens, estimate))
     longest = min(MOST_MATCHES, least)
     order = order[: min(n, n - least + longest)]
-    level = np.maximum(1, np.arange(len(order)) - (n - least) + 1)
-    scanned = np.cumsum(estimate[order] - 1)[n - least : n - least + longest]
-    cost = scanned + VERIFY_COST * scanned / np.arange(1, len(scanned) + 1)
-    return tokens[order], level.astype(np.uint8), int(np.argmin(cost)) + 1
+    # What a partner of the same size costs: the first n - o + l tokens, o being the overlap that the two need.
+    behind = n - -(-2 * n * percent // (100 + percent))
+    scanned = np.cumsum(estimate[order] - 1)[behind : behind + longest]
+    matches = np.arange(1, len(scanned) + 1)
+    cost = scanned + VERIFY_COST * scanned / matches + ENTRY_COST * matches
+    return tokens[order], int(np.argmin(cost)) + 1
 
 
 def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(token, sid, n, level, matches) of each prefix token that two distinct sets have."""
+    """(token, sid, n, place, matches) of each prefix token that two distinct sets have."""
     top = frequent.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -135,24 +143,24 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: in
             if not distinct:
                 continue
             found = [prefix(s, frequent, counts, percent) for s in distinct.values()]
-            lengths = [len(t) for t, _, _ in found]
-            token = np.concatenate([t for t, _, _ in found])
-            level = np.concatenate([x for _, x, _ in found])
+            lengths = [len(t) for t, _ in found]
+            token = np.concatenate([t for t, _ in found])
+            place = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
             owner = np.repeat(np.arange(len(found), dtype=np.uint32), lengths)
-            sids, sizes, chosen = np.array(list(distinct), np.int64), np.array([len(s) for s in distinct.values()], np.int64), np.array([m for _, _, m in found], np.uint8)
+            sids, sizes, chosen = np.array(list(distinct), np.int64), np.array([len(s) for s in distinct.values()], np.int64), np.array([m for _, m in found], np.uint8)
             for part, at in by_part((token % np.uint64(parts)).astype(np.int64), parts):
                 # Only the documents that have tokens in this part go along.
                 own, places = np.unique(owner[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(sids[own], sizes[own].astype(np.uint32), chosen[own], token[at], places.astype(np.uint32), level[at])], pa.binary())], names=["part", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(sids[own], sizes[own].astype(np.uint32), chosen[own], token[at], places.astype(np.uint32), place[at])], pa.binary())], names=["part", "entries"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sids, sizes, chosen, token, owner, level = unpack(data.as_py())
-                by.setdefault(part, []).append([token, sids[owner], sizes[owner], level, chosen[owner]])
+                sids, sizes, chosen, token, owner, place = unpack(data.as_py())
+                by.setdefault(part, []).append([token, sids[owner], sizes[owner], place, chosen[owner]])
         for part in list(by):
-            token, sid, size, level, chosen = (np.concatenate(x) for x in zip(*by.pop(part)))
+            token, sid, size, place, chosen = (np.concatenate(x) for x in zip(*by.pop(part)))
             order = np.lexsort((sid, token))
             token, sid = token[order], sid[order]
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
@@ -162,10 +170,10 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: in
             order, token, sid = order[kept], token[kept], sid[kept]
             for start in range(0, len(order), 100_000):
                 cut = slice(start, start + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(sid[cut]), pa.array(size[order[cut]].astype(np.int32)), pa.array(level[order[cut]].astype(np.int32)), pa.array(chosen[order[cut]].astype(np.int32))], names=["token", "sid", "n", "level", "matches"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(sid[cut]), pa.array(size[order[cut]].astype(np.int32)), pa.array(place[order[cut]].astype(np.int32)), pa.array(chosen[order[cut]].astype(np.int32))], names=["token", "sid", "n", "place", "matches"])
 
     rows = docs.mapInArrow(emit, "part int, entries binary").repartition(parts, "part")
-    return rows.mapInArrow(shared, "token long, sid long, n int, level int, matches int")
+    return rows.mapInArrow(shared, "token long, sid long, n int, place int, matches int")
 
 
 def bit_filter(ids: DataFrame, bits: int = FILTER_BITS, ranges: int = 64) -> bytes:
@@ -193,22 +201,29 @@ def bit_filter(ids: DataFrame, bits: int = FILTER_BITS, ranges: int = 64) -> byt
     return bytes(whole)
 
 
-def stored_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sid, tokens) of the sets with the given ids, and of the few others that their filter lets through."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
+def stored_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(sid, tokens) of the documents with the given keys, and of the few others that their filter lets through.
+
+    Only these are split and hashed again.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(bit_filter(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(bitmap.value, np.uint8)
-        for _, sets in _sets(batches):
-            distinct = {set_id(s): s for s in sets if len(s)}
-            at = mixed(np.array(list(distinct), np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-            on = (wanted[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
-            kept = [(i, s) for (i, s), k in zip(distinct.items(), on) if k]
-            for start in range(0, len(kept), 200):
-                some = kept[start : start + 200]
+
+        def chosen(batches):
+            for batch in batches:
+                at = mixed(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+                on = (wanted[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+                yield batch.filter(pa.array(on.astype(bool)))
+
+        for _, sets in _sets(chosen(batches)):
+            distinct = list({set_id(s): s for s in sets if len(s)}.items())
+            for start in range(0, len(distinct), 200):
+                some = distinct[start : start + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([s.view(np.int64) for _, s in some], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    return docs.mapInArrow(run, "sid long, tokens array<long>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    return docs.mapInArrow(run, "sid long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,50 +266,76 @@ def _released() -> None:
     SparkContext._active_spark_context._jvm.System.gc()
 
 
+def _overlap(percent: int, n: str, m: str):
+    """The least overlap of two sets that are similar: t / (1 + t) of both sizes."""
+    return F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+
+
+def _least(percent: int, n: str):
+    return F.ceil(F.col(n) * percent / 100)
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.coalesce("text", F.lit(""))).alias("text"))
-    total = read.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ship(spark)
+    # Rows without an id take part in nothing and come back as they are.
+    doc_id = F.col("doc_id").cast("long")
+    read = docs.where(doc_id.isNotNull()).select(doc_id.alias("key"), "text")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(16, -(-total // PART_BYTES))
-    found, _ = written(survey(read, percent), "jaccard-survey")
-    members = found.where("token IS NULL").select("doc_id", "sid", "n")
+    found, _ = written(survey(read), "jaccard-survey")
+    members = found.where("token IS NULL").select("key", "sid", "n")
     frequent = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
+    first_key = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"))
     entries, entries_at = written(prefix_entries(read, frequent, parts, percent), "jaccard-entries")
     _released()
-    sets, sets_at = written(stored_sets(read, entries.select("sid")), "jaccard-sets")
-    _released()
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "sid long, label long")
     close = lambda n, m: (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-    made: list[str] = []
-    for turn in range(ROUNDS):
-        own = entries.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        pivot = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("rank"), F.col("sid").alias("p"), F.col("n").alias("m"), F.col("label").alias("with"))).alias("pivot")).select("token", "pivot.p", "pivot.m", "pivot.with")
-        pairs = own.join(pivot, "token").where((F.col("label") != F.col("with")) & close("n", "m")).select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
-        new, path = written(verified(pairs, sets, percent), "jaccard-links")
-        made.append(path)
+
+    def links(pairs: DataFrame) -> tuple[DataFrame, str]:
+        """The similar ones among candidate pairs (a, b)."""
+        pairs, pairs_at = written(pairs, "jaccard-pairs")
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        sets, sets_at = written(stored_sets(read, ends.join(first_key, "sid").select("key")), "jaccard-sets")
+        made, at = written(verified(pairs, sets, percent), "jaccard-links")
+        discard(spark, pairs_at, sets_at)
         _released()
-        edges = edges.union(new)
-        labels = components(edges, "jaccard")
+        return made, at
+
+    # Each token's sets against the one that shares most of its prefix with others.  In a group of copies it is the
+    # same for most tokens, the one with the fewest changes.  Shared tokens are only those with this pivot, so a pair
+    # may be missed here; what is not among them has to fit behind one of the two prefixes.
+    central = entries.groupBy("sid").agg((-F.count(F.lit(1))).alias("rank"))
+    ranked = F.struct("rank", F.xxhash64("sid").alias("tie"), *[F.col(c).alias(f"p_{c}") for c in ("sid", "n", "place", "matches")])
+    pivot = entries.join(central, "sid").groupBy("token").agg(F.min(ranked).alias("p")).select("token", *[f"p.p_{c}" for c in ("sid", "n", "place", "matches")])
+    both = F.least("matches", "p_matches")
+    inside = lambda place, n: F.col(place) < F.col(n) - _least(percent, n) + both
+    near = entries.join(pivot, "token").where((F.col("sid") != F.col("p_sid")) & close("n", "p_n") & inside("place", "n") & inside("p_place", "p_n"))
+    needed = F.greatest(both, _overlap(percent, "n", "p_n") - F.greatest(_least(percent, "n"), _least(percent, "p_n")) + both)
+    near = near.groupBy(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(needed).alias("needed"))
+    edges, edges_at = links(near.where("shared >= needed").select("a", "b"))
+    labels = components(edges, "jaccard")
+    # All pairs that are still apart.  Knowing both sizes, the prefixes that have to share so many tokens are shorter.
     own = entries.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     split = own.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
     open_, open_at = written(own.join(split, "token"), "jaccard-open")
-    a, b = (open_.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "level", "matches", "label")]) for x in "ab")
-    matches = F.greatest("a_matches", "b_matches")
-    pairs = a.join(b, "token").where((F.col("a_sid") < F.col("b_sid")) & (F.col("a_label") != F.col("b_label")) & close("a_n", "b_n") & (F.greatest("a_level", "b_level") <= matches))
-    pairs = pairs.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(matches).alias("needed")).where("shared >= needed").select("a", "b")
-    new, path = written(verified(pairs, sets, percent), "jaccard-links")
-    labels = components(edges.union(new), "jaccard")
-    discard(spark, entries_at, sets_at, open_at, path, *made)
+    a, b = (open_.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "place", "matches", "label")]) for x in "ab")
+    both = F.least("a_matches", "b_matches")
+    inside = lambda x: F.col(f"{x}_place") < F.col(f"{x}_n") - _overlap(percent, "a_n", "b_n") + both
+    pairs = a.join(b, "token").where((F.col("a_sid") < F.col("b_sid")) & (F.col("a_label") != F.col("b_label")) & close("a_n", "b_n") & inside("a") & inside("b"))
+    pairs = pairs.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(both).alias("needed"))
+    more, more_at = links(pairs.where("shared >= needed").select("a", "b"))
+    labels = components(edges.union(more), "jaccard")
+    discard(spark, entries_at, open_at, edges_at, more_at)
     _released()
-    firsts = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    labelled = firsts.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_set, _ = written(labelled.join(least, "label").select("sid", "component_id"), "jaccard-classes")
-    linked = members.where("sid IS NOT NULL").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = members.where("sid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    firsts = first_key.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    least = firsts.groupBy("label").agg(F.min("key").alias("component_id"))
+    of_set, _ = written(firsts.join(least, "label").select("sid", "component_id"), "jaccard-classes")
+    linked = members.where("sid IS NOT NULL").join(of_set, "sid").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    alone = members.where("sid IS NULL").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
+    null = F.lit(None).cast("long")
+    unnamed = docs.where(doc_id.isNull()).select(null.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), null.alias("component_id"))
+    return linked.unionByName(alone).unionByName(unnamed)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
