@@ -197,12 +197,13 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, carry: tuple[str, ...
     Returns doc_id, n_words, n_removed, kept_sha256, the columns in ``carry`` and,
     with ``keep_text``, ``kept``: the kept words joined by one space.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).withColumn("key", F.xxhash64("doc_id", "text"))
+    held = [f"carry_{i}" for i in range(len(carry))]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"), *[F.col(c).alias(h) for c, h in zip(carry, held)])
     starts, parts = repeated_windows(keyed.select("key", "text"), size)
     left = keyed.withColumn("bucket", F.pmod("key", F.lit(parts)).cast("int"))
     right = starts.withColumnRenamed("bucket", "at_bucket")
-    fields = {f.name: f for f in keyed.schema.fields}
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text + "".join(f", `{c}` {fields[c].dataType.simpleString()}" for c in carry)
+    kinds = [keyed.schema[h].dataType.simpleString() for h in held]
+    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text + "".join(f", `{c}` {kind}" for c, kind in zip(carry, kinds))
 
     def remove(rows: pa.Table, marks: pa.Table) -> pa.Table:
         places: dict[int, list[np.ndarray]] = {}
@@ -231,7 +232,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, carry: tuple[str, ...
         columns = {"doc_id": rows.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if keep_text:
             columns["kept"] = pa.array(kept, pa.string())
-        return pa.table({**columns, **{c: rows.column(c) for c in carry}})
+        return pa.table({**columns, **{c: rows.column(h) for c, h in zip(carry, held)}})
 
     return left.groupBy("bucket").cogroup(right.groupBy("at_bucket")).applyInArrow(remove, ddl)
 
