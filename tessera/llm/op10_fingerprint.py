@@ -131,10 +131,12 @@ def next_ids(ids: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     levels = []
     depth = 1
     while True:
-        up = f"k{depth + 1}"
-        nodes = nodes.withColumn(up, F.shiftright(f"k{depth}", bits))
+        up, away = f"k{depth + 1}", bits * (depth + 1)
+        # The root is above all ids; those below and above zero have no bits in common.
+        root = away >= 64 or ends["lo"] >> away == ends["hi"] >> away
+        nodes = nodes.withColumn(up, F.lit(0) if root else F.shiftright(f"k{depth}", bits))
         levels.append(nodes.withColumn("sibling", F.lead("first").over(W.partitionBy(up).orderBy(f"k{depth}"))))
-        if ends["lo"] >> bits * (depth + 1) == ends["hi"] >> bits * (depth + 1):
+        if root:
             break
         nodes = nodes.groupBy(up).agg(F.min("first").alias("first"))
         depth += 1
