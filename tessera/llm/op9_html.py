@@ -156,13 +156,18 @@ def score(order: list[Node]) -> list[Node]:
             if not node.chars:
                 continue
             points = (1 + node.commas + min(3.0, node.chars / 100)) * (1 - node.link_chars / node.chars)
-            up, share = node.parent if node.tag in PARAGRAPHS else node, 1.0
-            for depth in range(5):
-                if up is None or up.tag in ("#root", "html"):
-                    break
-                up.score += points * share
-                candidates[id(up)] = up
-                up, share = up.parent, 0.5 if depth == 0 else share * 0.5
+            up = node.parent if node.tag in PARAGRAPHS else node
+        elif node.tag in ("div", "section", "article", "main", "center") and (own := "".join(c for c in node.content if type(c) is str).strip()):
+            points, up = 1 + own.count(",") + min(3.0, len(own) / 100), node  # text beside blocks is a paragraph of its own
+        else:
+            continue
+        share = 1.0
+        for depth in range(5):
+            if up is None or up.tag in ("#root", "html"):
+                break
+            up.score += points * share
+            candidates[id(up)] = up
+            up, share = up.parent, 0.5 if depth == 0 else share * 0.5
     for node in candidates.values():
         node.score *= 1 - node.link_chars / max(1, node.chars)
     return list(candidates.values())
