@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING, Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..errors import QueryError
 from .relations import foreign_key
+from .writes import insert, replace_rows, update_rows
 
 if TYPE_CHECKING:
     from ..sources.space import Space
@@ -70,7 +74,50 @@ def plan_insert(space: "Space", name: str, payloads: list[dict], max_depth: int
     return merged
 
 
-def plan_replace_children(current: Any, new: Any, keys: tuple[str, ...]):
-    """``$replace`` of a one-to-many relation: (rows that go, rows that stay or come), by anti-join on the keys."""
-    gone = current.join(new.select(*keys), list(keys), "left_anti")
-    return gone, new
+def replace_children(space: "Space", name: str, relation_name: str, parents: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
+    """``$replace`` of a relation of the given parents; returns the tables that change, as they are after it.
+
+    One to many: children of these parents that aren't in ``new`` go, the others
+    are replaced or come.  Many to many: the parents' junction rows are rebuilt;
+    ``new`` then has the columns of the junction.
+    """
+    model = space.table(name).model
+    relation = model.relation(relation_name)
+    if relation is None or relation.kind == "to":
+        raise QueryError("INVALID_QUERY", "not a relation to many", relation_name)
+    owner = space.table(relation.target if relation.kind == "from" else relation.junction)
+    fk = foreign_key(owner.model, name, relation.alias)
+    rows = owner.frame()
+    mine = parents.select(*[F.col(f"`{t}`").alias(f) for f, t in zip(fk.fields, fk.target_fields)]).distinct()
+    kept = rows.join(mine, list(fk.fields), "left_anti")
+    strangers = new.join(mine, list(fk.fields), "left_anti")
+    if strangers.limit(1).count():
+        raise QueryError("INVALID_QUERY", "a row belongs to another parent", relation_name)
+    moved = kept.join(new.select(*owner.model.pk), list(owner.model.pk), "left_anti") if relation.kind == "from" and owner.model.pk else kept
+    return {owner.model.name: moved.select(*rows.columns).unionByName(new.select(*rows.columns))}
+
+
+def patch_children(space: "Space", name: str, relation_name: str, ops: dict[str, Any]) -> dict[str, DataFrame]:
+    """``$insert``, ``$upsert``, ``$update`` and ``$remove`` of a one-to-many relation, in the order of array patches.
+
+    Each operand is a table of child rows (for ``$remove``, of their keys).
+    """
+    model = space.table(name).model
+    relation = model.relation(relation_name)
+    if relation is None or relation.kind != "from":
+        raise QueryError("INVALID_QUERY", "not a one-to-many relation", relation_name)
+    child = space.table(relation.target)
+    rows, keys = child.frame(), list(child.model.pk)
+    for op in ops:
+        if op not in ("$insert", "$upsert", "$update", "$remove"):
+            raise QueryError("INVALID_QUERY", "unknown operation", op)
+    if "$remove" in ops:
+        rows = rows.join(ops["$remove"].select(*keys), keys, "left_anti").select(*rows.columns)
+    if "$update" in ops:
+        rows = update_rows(rows, ops["$update"], child.model)
+    if "$upsert" in ops:
+        fresh = ops["$upsert"].join(rows.select(*keys), keys, "left_anti")
+        rows = insert(replace_rows(rows, ops["$upsert"], child.model), fresh, child.model)
+    if "$insert" in ops:
+        rows = insert(rows, ops["$insert"], child.model)
+    return {child.model.name: rows}

@@ -6,11 +6,13 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import QueryError
 from ..model import Model
+from ..sources.readers import physical
 
 #: What a new required column holds in old rows if it has no default.
 ZEROS = {"string": "", "boolean": False, "timestamp": 0}
@@ -123,3 +125,75 @@ def plan(models: list[Model], stored: dict[str, dict], renames: dict[str, dict[s
             out.append({"table": m.source, "action": "alter", "from": former, "columns": column_diff(old, new, (renames or {}).get(m.source)), "fks": fk_diff(old, new), "indexes": index_diff(old, new), "snapshot": new})
     held = {m.source for m in models} | {m.renamed_from for m in models}
     return out + [{"table": t, "action": "untracked"} for t in stored if t not in held]
+
+
+#: Milliseconds after which a lock that nobody renewed counts as left behind.
+LOCK_TTL = 30_000
+
+
+class Sync:
+    """Applies models to the tables of a folder, once for each change, by one process at a time.
+
+    Snapshots and table locations are kept as a small Parquet table beside the
+    data.  A changed table is written anew beside the old one and the locations
+    are switched last, so readers see the old or the new table.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._store = f"{self.root}/_sync"
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def _path(self, path: str):
+        at = self._hadoop.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def stored(self) -> tuple[dict[str, dict], dict[str, str]]:
+        """Snapshots and locations by table."""
+        at, fs = self._path(self._store)
+        if not fs.exists(at):
+            return {}, {}
+        rows = self.spark.read.schema("name string, snapshot string, location string").parquet(self._store).collect()
+        return {r["name"]: json.loads(r["snapshot"]) for r in rows}, {r["name"]: r["location"] for r in rows}
+
+    def frame(self, model: Model) -> DataFrame:
+        """A table as stored."""
+        return self.spark.read.parquet(self.stored()[1][model.source])
+
+    def plan(self, models: list[Model], renames: dict[str, dict[str, str]] | None = None) -> list[dict]:
+        return plan(models, self.stored()[0], renames)
+
+    def run(self, models: list[Model], renames: dict[str, dict[str, str]] | None = None) -> list[dict]:
+        """Does what :meth:`plan` says; returns it.  Does nothing where all hashes agree."""
+        steps = [s for s in self.plan(models, renames) if s["action"] != "untracked"]
+        if not steps:
+            return []
+        at, fs = self._path(f"{self.root}/_lock")
+        if fs.exists(at) and self.spark.sparkContext._jvm.System.currentTimeMillis() - fs.getFileStatus(at).getModificationTime() > LOCK_TTL:
+            fs.delete(at, False)
+        try:
+            fs.create(at, False).close()
+        except Exception as e:
+            raise QueryError("CONFLICT", "another sync holds the lock", self.root) from e
+        try:
+            snapshots, locations = self.stored()
+            by_table = {m.source: m for m in models}
+            for step in steps:
+                model, new = by_table[step["table"]], step["snapshot"]
+                location = f"{self.root}/{step['table']}-{schema_hash(new)}"
+                if step["action"] == "create":
+                    rows = physical(self.spark.createDataFrame([], model.schema()), model)
+                else:
+                    if step["columns"].conflicts:
+                        raise QueryError("CONFLICT", f"old and new name both exist: {step['columns'].conflicts}", model.source)
+                    rows = apply_diff(self.spark.read.parquet(locations[step["from"]]), step["columns"], model)
+                    if step["from"] != step["table"]:
+                        snapshots.pop(step["from"], None)
+                        locations.pop(step["from"], None)
+                rows.write.mode("overwrite").parquet(location)
+                snapshots[step["table"]], locations[step["table"]] = new, location
+            table = [(n, json.dumps(s, default=str), locations[n]) for n, s in snapshots.items()]
+            self.spark.createDataFrame(table, "name string, snapshot string, location string").coalesce(1).write.mode("overwrite").parquet(self._store)
+        finally:
+            fs.delete(at, False)
+        return steps
