@@ -24,9 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the document with the smallest id stays; of rows that are repeated, one; rows without id."""
     kept = op2_jaccard.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS)
+    rows = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document appears once for each draw of the mix; one drawn in part appears whole."""
-    drawn = op8_mixing.mix(docs).select("doc_id", F.size("draws").alias("times")).where("times > 0")
-    return docs.select(*COLUMNS).join(drawn, "doc_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """A document appears once for each draw of the mix; one drawn in part appears whole, rows of one id alike."""
+    drawn = op8_mixing.mix(docs).groupBy(F.col("doc_id").alias("drawn_id")).agg(F.max(F.size("draws")).alias("times")).where("times > 0")
+    rows = docs.select(*COLUMNS).join(drawn, F.col("doc_id").eqNullSafe(F.col("drawn_id")))
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

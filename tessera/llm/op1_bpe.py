@@ -26,12 +26,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents, ship
+from .shared import claim, documents, ship
 
 #: The published split pattern of byte-level BPE vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and fragments a worker remembers; each cache starts afresh when full.
-CACHE = 250_000
+CACHE = 200_000
 #: Longer pieces are not worth remembering.
 LONGEST_CACHED = 64
 #: The rank of a pair that no merge joins.
@@ -187,6 +187,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = True
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _LOADED.clear)
         bpe = _loaded(spec.value)
         for whole in batches:
             for start in range(0, whole.num_rows, slice_rows):

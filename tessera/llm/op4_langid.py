@@ -26,16 +26,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, ship
+from .shared import claim, documents, ship
 
 #: A text's words: runs of letters, lower-cased.
 LETTERS = r"\p{L}+"
 #: Characters of each language's text that the automaton is built over.
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 30_000
 #: Characters of one document in that sample.
 SAMPLE_DOC_CHARS = 2_000
 #: Distinct words that a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Longer words are parsed anew each time.
 LONGEST_CACHED = 64
 #: Bits of each language's phrase count in the packed sum of a text.
@@ -175,6 +175,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, slice_rows: int = 256)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _PARSERS.clear)
         parser = _parser(model.value)
         for whole in batches:
             for start in range(0, whole.num_rows, slice_rows):

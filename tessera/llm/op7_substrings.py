@@ -35,13 +35,13 @@ from .shared import documents, hashed_words, mixed, ship
 #: Words of a window.
 WINDOW = 35
 #: Words of a chunk.
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Rows of the sketch; cells for each window; least and most cells of all rows.
 ROWS, CELLS_A_WINDOW, LEAST_CELLS, MOST_CELLS = 2, 4, 1 << 18, 1 << 29
 #: Cell ranges of each row that are merged apart from each other.
 RANGES = 64
 #: Text bytes for each hash range of the exact pass and each bucket of documents.
-PART_BYTES = 12_000_000
+PART_BYTES = 8_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = {"n": 0}
@@ -211,8 +211,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, carry: tuple[str, ...
             keys, counts, place = unpack(data.as_py())
             for key, at in zip(keys.tolist(), np.split(place, np.cumsum(counts)[:-1])):
                 places.setdefault(key, []).append(at)
-        from .shared import text_bytes
+        from .shared import claim, forget_words, text_bytes
 
+        claim("words", forget_words)
         n_words, n_removed, digest, kept = [], [], [], []
         for key, text in zip(rows.column("key").to_pylist(), (t for c in rows.column("text").chunks for t in text_bytes(c))):
             words = text.split()

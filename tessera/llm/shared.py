@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import tempfile
 import uuid
@@ -16,7 +19,9 @@ from pyspark.sql import functions as F
 #: What separates words in every contract of this package: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries that a worker's word cache holds before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +52,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a cluster, so that it needn't be installed there."""
-    sc = spark.sparkContext
+    """Sends this package to the executors, once a cluster, so that it needn't be installed there.
+
+    Also bounds the session's Arrow batches, whose rows are whole texts here.
+    """
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(sc, "_tessera_shipped", False):
         return
     root, data = Path(__file__).resolve().parents[1], io.BytesIO()
@@ -88,6 +98,10 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget_words() -> None:
+    _HASHES.clear()
+
+
 def hashed_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
@@ -99,6 +113,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_CACHES: dict[str, object] = {}
+
+
+def claim(name: str, clear) -> None:
+    """Says whose caches a worker is to hold from now on; those of other operators are cleared.
+
+    Spark reuses its Python workers, so that without this a pipeline's workers
+    would hold the caches of all its stages.
+    """
+    if len(_CACHES) == 1 and name in _CACHES:
+        return
+    others = [_CACHES.pop(other) for other in list(_CACHES) if other != name]
+    _CACHES[name] = clear
+    for f in others:
+        f()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
     import pyarrow as pa

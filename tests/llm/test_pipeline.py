@@ -38,3 +38,14 @@ def test_empty(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_nulls_and_repeated_rows(spark, sf_dir):
+    text = " ".join(f"wort{i}" for i in range(20))
+    rows = [(1, text, "de", "a", 5), (1, text, "de", "a", 5), (None, "ohne nummer", None, None, None), (3, None, "de", "a", None), (4, "12 34", "de", None, 5), (5, text + " ende", "de", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = []
+    for _, stage in P.STAGES[:3]:
+        docs = stage(spark, docs, sf_dir)
+        kept.append(sorted((r["doc_id"] for r in docs.collect()), key=str))
+    assert kept == [[1, 1, 5, None], [1, None], [1, None]]
