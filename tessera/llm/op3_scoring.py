@@ -1,23 +1,21 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-One pass counts words and word pairs of the training documents, exactly, by hash
-range.  Counts are quantised to powers of two, and an n-gram of level q is put
-into a Bloom filter as (n-gram, 1) to (n-gram, q).  The filter is broadcast; to
-estimate a count, a worker probes level after level until one is missing.  A pair
-is scored by the smoothed probability
+The text is read once, in chunks.  The distinct words and word pairs of a chunk,
+with their counts in its training documents, go to their hash ranges.  A range
+sums them, exactly, quantises the sums to powers of two and puts an n-gram of level
+q into its segment of a Bloom filter as (n-gram, 1) to (n-gram, q); to estimate a
+count, level after level is probed until one is missing.  What it finds goes back to
+the chunks that asked.  A pair is scored by the smoothed probability
 
     p(w | v) = b * c(v, w) / c(v) + (1 - b) * p(w),   b = SHARE * c(v) / (c(v) + MU)
     p(w) = (c(w) + 1) / (N + V + 1)
 
-of these estimates, so a pair that wasn't seen falls back to its word.
+of these estimates, so a pair that wasn't seen falls back to its word.  The exact
+counts of words come back too: the base score needs them, and for the most frequent
+words the model uses them.
 
-The base score needs exact counts.  The most frequent words are broadcast with
-theirs (the model uses these too); the occurrences of all others go to the hash
-range of their word, and come back as sums for each document.
-
-The filter has a fixed upper size (``MOST_BITS``), as it is broadcast.  It takes
-all words and pairs while they fit; beyond, the pairs of the lowest counts are
-left to fall back to their words.
+The filter holds all words and pairs: there are more ranges for a larger input, each
+segment is as large as its entries need, and no worker holds more than one.
 
 Defined results: a null text is empty and has the one end token; a row with a
 null id isn't held out and isn't learnt from; with no training token the scores
@@ -34,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import by_part, chunked, pack, runs, unpack
+from .packing import chunked, pack, runs, unpack
 from .shared import documents, hashed_words, mixed, ship, written
 
 #: Words of a chunk; text bytes for each hash range.
 CHUNK, PART_BYTES = 750_000, 16_000_000
-#: Bits of the filter for each entry, its probes for one, and its upper size.
-ENTRY_BITS, PROBES, MOST_BITS = 7, 4, 1 << 29
-#: Words that are broadcast with their exact counts, 12 bytes each.
+#: Bits of the filter for each entry, and its probes for one.
+ENTRY_BITS, PROBES = 7, 4
+#: Words whose exact counts the model uses.
 MOST_WORDS = 1 << 20
 #: The largest weight of a pair's frequency, and the count of the first word at which it is half of that.
 SHARE, MU = 0.5, 100.0
@@ -70,10 +68,31 @@ def pairs_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(mixed(before + np.uint64(0x9E3779B97F4A7C15)) ^ token)
 
 
-def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    starts, lengths = runs(values)
-    return values[starts], lengths
+def counted(values: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in order, and how often each one occurs where it is learnt from."""
+    order = np.argsort(values)
+    values = values[order]
+    starts, _ = runs(values)
+    return values[starts], np.add.reduceat(learnt[order], starts, dtype=np.uint32) if len(starts) else np.empty(0, np.uint32)
+
+
+def planes(a: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones and so on; these compress better."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.ravel()
+
+
+def unplaned(data: np.ndarray, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(size, -1).T).ravel().view(kind)
+
+
+def rising(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes as planes of their differences."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unrisen(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(unplaned(data, np.uint64), dtype=np.uint64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -118,89 +137,96 @@ class LogBloom:
         return out
 
 
-def counts_by_range(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, words, pairs, totals): for each hash range the counts of words and of pairs."""
+def segment(hashes: np.ndarray, level: np.ndarray) -> LogBloom:
+    """The filter over all n-grams of a range, as large as their entries need."""
+    bits = int(level.sum() * ENTRY_BITS * 1.1) // 64 * 64 + 64
+    on = np.zeros(bits, np.uint8)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        for place in LogBloom.places(hashes[level >= q], q, bits):
+            on[place] = 1
+    return LogBloom(np.packbits(on, bitorder="little"), 1)
+
+
+def answered(rows: DataFrame, parts: int) -> DataFrame:
+    """What the hash ranges find for each chunk, and the chunks; ``rows`` are (row, text).
+
+    A row with neither chunk nor data has the sums of a range.  A row with part -1 is
+    a chunk: its documents, its distinct words and the word of each token.  Any other is
+    a range's answer: exact counts and levels of the chunk's words, levels of its pairs.
+    """
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in chunked(batches, CHUNK, lower=True):
-            token, before, _ = tokens_of(words)
+        for keys, words in chunked(batches, CHUNK, lower=True):
+            token, before, doc = tokens_of(words)
+            n = np.array([len(w) + 1 for w in words], np.int64)
             del words
-            (w, wn), (p, pn) = counted(token), counted(pairs_of(before, token))
+            ids = [k["doc_id"] for k in keys]
+            flags = np.array([(i is None) + 2 * k["held_out"] for i, k in zip(ids, keys)], np.uint8)
+            learnt = (flags == 0).astype(np.uint8)[doc]
+            (w, wn), (p, pn) = counted(token, learnt), counted(pairs_of(before, token), learnt)
             edges = np.arange(parts + 1)
             we, pe = (np.searchsorted((x >> shift).astype(np.int64), edges) for x in (w, p))
+            chunk, at, data = keys[0]["key"], [], []
             for part in range(parts):
                 ws, ps = slice(we[part], we[part + 1]), slice(pe[part], pe[part + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(w[ws], wn[ws].astype(np.uint32), p[ps], pn[ps].astype(np.uint32))], pa.binary())], names=["part", "counts"])
-
-    def add(items: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, counts = np.concatenate([h for h, _ in items]), np.concatenate([c for _, c in items]).astype(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        starts, _ = runs(hashes[order])
-        return hashes[order][starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
+                if ws.stop > ws.start or ps.stop > ps.start:
+                    at.append(part)
+                    data.append(pack(rising(w[ws]), planes(wn[ws]), rising(p[ps]), planes(pn[ps])))
+            whole = pack(np.array([i or 0 for i in ids], np.int64), flags, n, rising(w), planes(np.searchsorted(w, token).astype(np.uint32)))
+            to = int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(parts))
+            kinds = [False] * len(at) + [True]
+            yield pa.RecordBatch.from_arrays([pa.array([*at, to], pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), pa.array(kinds), pa.array([*data, whole], pa.binary())], names=["part", "chunk", "whole", "data"])
+
+    def add(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, n = np.concatenate(hashes), np.concatenate(counts)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        starts, _ = runs(values)
+        return values[starts], np.add.reduceat(n[order], starts, dtype=np.int64) if len(starts) else n.astype(np.int64)
+
+    def answers(chunks: list[int], part: int, items: list[bytes]) -> Iterator[pa.RecordBatch]:
+        asked = [unpack(i) for i in items]
+        w, p = ([unrisen(a[i]) for a in asked] for i in (0, 2))
+        (words, wn), (pairs, pn) = add(w, [unplaned(a[1], np.uint32) for a in asked]), add(p, [unplaned(a[3], np.uint32) for a in asked])
+        del asked
+        by_words, by_pairs = (np.where(n > 0, level_of(n), 0) for n in (wn, pn))
+        sums = np.bincount(by_words[wn > 0], minlength=LEVELS + 1).tolist()
+        bloom = segment(np.concatenate([words, pairs]), np.concatenate([by_words, by_pairs]))
+        word_levels, pair_levels = (bloom.levels(x).astype(np.uint8) for x in (words, pairs))
+        yield out([None], [part], [None], int(wn.sum()), sums)
+        for chunk, ws, ps in zip(chunks, w, p):
+            at = np.searchsorted(words, ws)
+            yield out([chunk], [part], [pack(planes(wn[at]), word_levels[at], pair_levels[np.searchsorted(pairs, ps)])])
+
+    def out(chunk: list, part: list, data: list, total: int | None = None, levels: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array([total] * len(chunk), pa.int64()), pa.array([levels] * len(chunk), pa.list_(pa.int64()))], names=["chunk", "part", "data", "total", "word_levels"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(part, []).append(unpack(data.as_py()))
+            for part, chunk, whole, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if whole:
+                    yield out([chunk], [-1], [data])
+                    continue
+                chunks, items = held.setdefault(part, ([], []))
+                chunks.append(chunk)
+                items.append(data)
         for part in list(held):
-            items = held.pop(part)
-            w, wn = add([(a, b) for a, b, _, _ in items])
-            p, pn = add([(c, d) for _, _, c, d in items])
-            by_words, by_pairs = (np.bincount(level_of(n), minlength=LEVELS + 1).tolist() for n in (wn, pn))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(w, wn)], pa.binary()), pa.array([pack(p, pn)], pa.binary()), pa.array([int(wn.sum())], pa.int64()), pa.array([len(w)], pa.int64()), pa.array([by_words], pa.list_(pa.int64())), pa.array([by_pairs], pa.list_(pa.int64()))], names=["part", "words", "pairs", "total", "distinct", "word_levels", "pair_levels"])
-
-    rows = docs.mapInArrow(emit, "part int, counts binary").repartition(parts, "part")
-    return rows.mapInArrow(merge, "part int, words binary, pairs binary, total long, distinct long, word_levels array<long>, pair_levels array<long>")
-
-
-def build_filter(counts: DataFrame, parts: int, word_levels: list[int], pair_levels: list[int]) -> np.ndarray:
-    """The filter over all words and those pairs that fit in; pairs of the lowest levels go first."""
-    entries = lambda levels, least: sum(n * q for q, n in enumerate(levels) if q >= least)
-    least = 1
-    while least <= LEVELS and (entries(word_levels, 1) + entries(pair_levels, least)) * ENTRY_BITS > MOST_BITS:
-        least += 1
-    needed = (entries(word_levels, 1) + entries(pair_levels, least)) * ENTRY_BITS * 1.1
-    bits = int(min(MOST_BITS, max(1 << 16, needed)) // parts // 64 + 1) * 64
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, *data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                on = np.zeros(bits, np.uint8)
-                for blob, lowest in zip(data, (1, least)):
-                    hashes, n = unpack(blob.as_py())
-                    level = level_of(n)
-                    hashes, level = hashes[level >= lowest], level[level >= lowest]
-                    for q in range(1, int(level.max(initial=0)) + 1):
-                        for place in LogBloom.places(hashes[level >= q], q, bits):
-                            on[place] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
-
-    whole = bytearray(bits // 8 * parts)
-    for r in counts.select("part", "words", "pairs").mapInArrow(segments, "part int, bits binary").collect():
-        whole[r["part"] * bits // 8 : (r["part"] + 1) * bits // 8] = r["bits"]
-    return np.frombuffer(bytes(whole), np.uint8)
-
-
-def frequent_words(counts: DataFrame, word_levels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the highest levels, as many levels as fit, with exact counts."""
+            chunks, items = held.pop(part)
+            yield from answers(chunks, part, items)
+
+    dealt = rows.mapInArrow(emit, "part int, chunk long, whole boolean, data binary").repartition(parts, "part")
+    return dealt.mapInArrow(merge, "chunk long, part int, data binary, total long, word_levels array<long>")
+
+
+def least_exact(word_levels: list[int]) -> int:
+    """The lowest level of the words whose exact counts the model uses: as many levels as fit."""
     least, held = LEVELS + 1, 0
     while least > 1 and held + word_levels[least - 1] <= MOST_WORDS:
         least -= 1
         held += word_levels[least]
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                hashes, n = unpack(data.as_py())
-                on = level_of(n) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([pack(hashes[on], n[on])], pa.binary())], names=["words"])
-
-    found = [unpack(r["words"]) for r in counts.select("words").mapInArrow(pick, "words binary").collect()]
-    hashes, n = (np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return least
 
 
 def held_out(folds: int = 7):
@@ -214,85 +240,38 @@ def score(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    size = read.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = 1 << max(4, (size // PART_BYTES).bit_length())
-    counts, _ = written(counts_by_range(read.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text"), parts), "lm-counts")
-    at = lambda c: F.array(*[F.sum(F.element_at(c, i + 1)) for i in range(LEVELS + 1)])
-    sums = counts.agg(F.sum("total").alias("N"), F.sum("distinct").alias("V"), at("word_levels").alias("w"), at("pair_levels").alias("p")).first()
-    total, distinct = sums["N"] or 0, sums["V"] or 0
-    word_levels, pair_levels = ([x or 0 for x in sums[c]] for c in "wp")
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((build_filter(counts, parts, word_levels, pair_levels), *frequent_words(counts, word_levels)))
-    shift = np.uint64(64 - (parts.bit_length() - 1))
-    norm = float(total + distinct + 1)
-    starts = float(read.where(~F.col("held_out") & F.col("doc_id").isNotNull()).count())
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "part", "rest"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, heads, head_counts = model.value
-        bloom = LogBloom(data, parts)
-
-        def known(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Which words' counts are at hand, and these."""
-            if not len(heads):
-                return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-            at = np.minimum(np.searchsorted(heads, hashes), len(heads) - 1)
-            found = heads[at] == hashes
-            return found, np.where(found, head_counts[at], 0)
-
-        def estimated(bloom: LogBloom, hashes: np.ndarray, found: np.ndarray, exact: np.ndarray) -> np.ndarray:
-            """Counts as far as they are at hand, else what the filter says."""
-            counts = exact.astype(float)
-            if total and not found.all():
-                counts[~found] = count_at(bloom.levels(hashes[~found]))
-            return counts
-
-        for keys, words in chunked(batches, CHUNK, lower=True):
-            n = np.array([len(w) + 1 for w in words], np.int64)
-            token, before, doc = tokens_of(words)
-            del words
-            own, where = np.unique(token, return_inverse=True)
-            head, exact = known(own)
-            base = np.where(head, np.log10((exact + 1) / norm), 0.0)[where]
-            p_word = ((estimated(bloom, own, head, exact) + 1) / norm)[where]
-            first, spots = np.unique(before, return_inverse=True)
-            context = estimated(bloom, first, *known(first))[spots]
-            context[before == START] = starts
-            pair = np.minimum(count_at(bloom.levels(pairs_of(before, token))), context) if total else np.zeros(len(token))
-            share = SHARE * context / (context + MU)
-            p = share * pair / np.maximum(context, 1) + (1 - share) * p_word
-            size, keys_ = len(keys), np.array([k["key"] for k in keys], np.int64)
-            sums = [np.bincount(doc, x, size) for x in (base, np.log10(p), head[where])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array([k["held_out"] for k in keys], pa.bool_()), pa.array(n), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
-            rest = np.flatnonzero(~head[where])
-            if not len(rest):
-                continue
-            for part, some in by_part((token[rest] >> shift).astype(np.int64), parts):
-                some = rest[some]
-                ids, places = np.unique(doc[some], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), pa.array([part], pa.int32()), pa.array([pack(keys_[ids], places.astype(np.uint32), token[some])], pa.binary())], names=names)
-
+    first = read.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(~F.col("held_out") & F.col("doc_id").isNotNull()).alias("starts")).first()
+    parts, starts = 1 << max(4, ((first["size"] or 0) // PART_BYTES).bit_length()), float(first["starts"])
     row = F.struct(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out").alias("row")
-    found, _ = written(read.select(row, "text").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, part int, rest binary"), "lm-scores")
-
-    def look_up(rests: pa.Table, words: pa.Table) -> pa.Table:
-        hashes, n = unpack(words.column("words")[0].as_py()) if words.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        out = []
-        for data in rests.column("rest"):
-            keys, places, token = unpack(data.as_py())
-            spot = np.minimum(np.searchsorted(hashes, token), max(0, len(hashes) - 1))
-            c = np.where(hashes[spot] == token, n[spot], 0) if len(hashes) else np.zeros(len(token), np.int64)
-            out.append((keys, np.bincount(places, np.log10((c + 1) / norm), len(keys)), np.bincount(places, c > 0, len(keys)).astype(np.int64)))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.float64, np.int64))]
-        return pa.table(dict(zip(("key", "base", "n_known"), columns)))
-
-    rests = found.where("part IS NOT NULL").select("part", "rest").groupBy("part")
-    tail = rests.cogroup(counts.select("part", "words").groupBy("part")).applyInArrow(look_up, "key long, base double, n_known long")
-    whole = found.where("part IS NULL").drop("part", "rest").unionByName(tail, allowMissingColumns=True)
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
-    whole = whole.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *sums)
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    found, _ = written(answered(read.select(row, "text"), parts), "lm-answers")
+    at = F.array(*[F.sum(F.element_at("word_levels", i + 1)) for i in range(LEVELS + 1)])
+    sums = found.where("chunk IS NULL").agg(F.sum("total").alias("N"), at.alias("levels")).first()
+    total, word_levels = sums["N"] or 0, [x or 0 for x in sums["levels"]]
+    norm, least = float(total + sum(word_levels) + 1), least_exact(word_levels)
+
+    def scored(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")  # the chunk itself, then the answers in the order of their hashes
+        ids, flags, n, own, where = unpack(rows.column("data")[0].as_py())
+        own, where = unrisen(own), unplaned(where, np.uint32)
+        got = [unpack(d.as_py()) for d in rows.column("data")[1:]]
+        exact = np.concatenate([unplaned(g[0], np.int64) for g in got])
+        word_level, pair_level = (np.concatenate([g[i] for g in got]) for i in (1, 2))
+        estimate = np.where((exact > 0) & (level_of(exact) >= least), exact, count_at(word_level.astype(np.int64)) if total else 0.0)
+        begin = np.zeros(len(where), bool)
+        begin[np.concatenate([[0], np.cumsum(n)[:-1]])] = True
+        token, last = own[where], np.concatenate([[0], where[:-1]])
+        before = np.where(begin, START, own[last])
+        context = np.where(begin, starts, estimate[last])
+        _, spots = np.unique(pairs_of(before, token), return_inverse=True)
+        pair = np.minimum(count_at(pair_level.astype(np.int64))[spots], context) if total else np.zeros(len(token))
+        share = SHARE * context / (context + MU)
+        p = share * pair / np.maximum(context, 1) + (1 - share) * ((estimate + 1) / norm)[where]
+        doc = np.repeat(np.arange(len(n)), n)
+        base, score, known = (np.bincount(doc, x, len(n)) for x in (np.log10((exact + 1) / norm)[where], np.log10(p), (exact > 0)[where]))
+        return pa.table([pa.array(ids, mask=flags & 1 == 1), pa.array(flags & 2 == 2), pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    asked = found.where("chunk IS NOT NULL").select("chunk", "part", "data").groupBy("chunk")
+    return asked.applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

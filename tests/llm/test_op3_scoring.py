@@ -48,3 +48,25 @@ def test_empty_and_repeated(spark):
     rows = [(None, "a b", 1), (3, "a b", 2), (3, "a b", 2)]
     got = op3_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, score long")).collect()
     assert len(got) == 3 and sum(r["doc_id"] == 3 for r in got) == 2 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+
+
+def test_filter_holds_all_pairs(spark, monkeypatch):
+    """The rarest pairs count too, whatever size a filter was once held to."""
+    monkeypatch.setattr(op3_scoring, "MOST_BITS", 1 << 12, raising=False)
+    docs = [(i, " ".join(f"w{(i * 7 + j * (1 + i % 5)) % 400}" for j in range(40))) for i in range(300)]
+    got = {r["doc_id"]: r["score"] for r in op3_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    tokens = {i: ["<", *t.split(), ">"] for i, t in docs}
+    word = Counter(x for i, t in tokens.items() if not held[i] for x in t[1:])
+    pair = Counter(x for i, t in tokens.items() if not held[i] for x in zip(t, t[1:]))
+    context = word | {"<": sum(not h for h in held.values())}
+    norm = sum(word.values()) + len(word) + 1
+
+    def p(v, w):
+        n = min(float(op3_scoring.count_at(op3_scoring.level_of(np.array(pair[v, w])))) if pair[v, w] else 0.0, context[v])
+        share = op3_scoring.SHARE * context[v] / (context[v] + op3_scoring.MU)
+        return share * n / max(context[v], 1) + (1 - share) * (word[w] + 1) / norm
+
+    want = {i: sum(math.log10(p(v, w)) for v, w in zip(t, t[1:])) for i, t in tokens.items()}
+    off = [abs(got[i] - want[i]) / abs(want[i]) for i in want]
+    assert max(off) < 0.1 and sum(off) / len(off) < 0.01
