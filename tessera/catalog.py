@@ -325,7 +325,7 @@ query("geo_search", _P + "SELECT id, round(m, 1) AS metres FROM d ORDER BY m, id
 query("geo_window", _P + "SELECT id, round(m, 1) AS metres FROM d WHERE m BETWEEN 500000 AND 3000000")(lambda s: _places(s.table("places").geo_search([11.5, 48.1], {"controls": {"$minDistance": 500000, "$maxDistance": 3000000}})))
 query("geo_within", _P + "SELECT id FROM d WHERE NOT m <= 4000000")(lambda s: s.table("places").find_many({"filter": {"$not": {"point": {"$geoWithin": {"center": [11.5, 48.1], "radius": 4000000}}}}}).select("id"))
 query("geo_count", _P + "SELECT count(*) AS count FROM d WHERE m <= 5000000")(lambda s: s.table("places").geo_count([11.5, 48.1], {"controls": {"$maxDistance": 5000000}}))
-query("geo_url", _P + "SELECT id, round(m, 1) AS metres FROM d WHERE m <= 6000000 AND id > 100")(lambda s: _places(Facade(s, "places").geo("id>100&$center=11.5,48.1&$maxDistance=6000000")))
+query("geo_url", _P + "SELECT id, round(m, 1) AS metres FROM d WHERE m <= 6000000 AND id > 100")(lambda s: _places(Facade(s, "places").geo("id>100&$center=11.5,48.1&$maxDistance=6000000&$limit=none")))
 
 # Writes ------------------------------------------------------------------------------
 _NEW = [{"c_custkey": -1, "c_name": "new one", "c_nationkey": 3, "c_acctbal": 10.5, "c_mktsegment": "BUILDING"}, {"c_custkey": -2, "c_name": "new two", "c_nationkey": 4, "c_acctbal": 0.0, "c_mktsegment": "MACHINERY"}]
@@ -433,25 +433,25 @@ def _schema_apply(s: Space) -> DataFrame:
 
 
 # URL forms ---------------------------------------------------------------------------------
-url("url_filter", "orders", "o_orderstatus=F&o_totalprice>=100000&$limit=100000&$select=o_orderkey", _O + "o_orderstatus = 'F' AND o_totalprice >= 100000")
-url("url_or_precedence", "orders", "o_orderstatus=P^o_totalprice>300000&o_orderpriority!=5-LOW&$limit=100000&$select=o_orderkey", _O + "o_orderstatus = 'P' OR (o_totalprice > 300000 AND o_orderpriority <> '5-LOW')")
-url("url_not_group", "orders", "!(o_orderstatus=P^o_orderstatus=O)&(o_custkey<100^o_custkey>1000)&$limit=100000&$select=o_orderkey", _O + "NOT (o_orderstatus = 'P' OR o_orderstatus = 'O') AND (o_custkey < 100 OR o_custkey > 1000)")
-url("url_sets", "orders", "o_orderpriority{1-URGENT,2-HIGH}&o_orderstatus!{F,P}&$limit=100000&$select=o_orderkey", _O + "o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F', 'P')")
-url("url_between", "orders", "100000<o_totalprice<=150000&$limit=100000&$select=o_orderkey", _O + "o_totalprice > 100000 AND o_totalprice <= 150000")
-url("url_regex", "orders", "o_orderpriority~=/^[1-3].*h/i&$limit=100000&$select=o_orderkey", _O + "regexp_matches(o_orderpriority, '(?i)^[1-3].*h')")
-url("url_exists", "labelled", "$exists=quality&$limit=100000&$select=doc_id", _L + "quality IS NOT NULL")
-url("url_null", "labelled", "quality=null&$limit=100000&$select=doc_id", _L + "quality IS NULL")
+url("url_filter", "orders", "o_orderstatus=F&o_totalprice>=100000&$limit=none&$select=o_orderkey", _O + "o_orderstatus = 'F' AND o_totalprice >= 100000")
+url("url_or_precedence", "orders", "o_orderstatus=P^o_totalprice>300000&o_orderpriority!=5-LOW&$limit=none&$select=o_orderkey", _O + "o_orderstatus = 'P' OR (o_totalprice > 300000 AND o_orderpriority <> '5-LOW')")
+url("url_not_group", "orders", "!(o_orderstatus=P^o_orderstatus=O)&(o_custkey<100^o_custkey>1000)&$limit=none&$select=o_orderkey", _O + "NOT (o_orderstatus = 'P' OR o_orderstatus = 'O') AND (o_custkey < 100 OR o_custkey > 1000)")
+url("url_sets", "orders", "o_orderpriority{1-URGENT,2-HIGH}&o_orderstatus!{F,P}&$limit=none&$select=o_orderkey", _O + "o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F', 'P')")
+url("url_between", "orders", "100000<o_totalprice<=150000&$limit=none&$select=o_orderkey", _O + "o_totalprice > 100000 AND o_totalprice <= 150000")
+url("url_regex", "orders", "o_orderpriority~=/^[1-3].*h/i&$limit=none&$select=o_orderkey", _O + "regexp_matches(o_orderpriority, '(?i)^[1-3].*h')")
+url("url_exists", "labelled", "$exists=quality&$limit=none&$select=doc_id", _L + "quality IS NOT NULL")
+url("url_null", "labelled", "quality=null&$limit=none&$select=doc_id", _L + "quality IS NULL")
 url("url_sort_page", "orders", "$sort=-o_totalprice,o_orderkey&$skip=10&$limit=25", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
-url("url_exclude", "supplier", "$select=-s_name,-s_acctbal", "SELECT s_suppkey, s_nationkey FROM supplier")
+url("url_exclude", "supplier", "$select=-s_name,-s_acctbal&$limit=none", "SELECT s_suppkey, s_nationkey FROM supplier")
 url("url_count", "orders", "o_orderstatus=F&$count", "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F'")
 url("url_group", "orders", "o_totalprice>5000&$groupBy=o_orderstatus&$select=o_orderstatus,count(*):n,max(o_totalprice):most&$sort=-n", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_totalprice > 5000 GROUP BY o_orderstatus")
 query("url_with", """SELECT c_custkey, array_to_string(coalesce(list(o_orderkey ORDER BY r) FILTER (WHERE r <= 3), []), ',') AS keys FROM customer LEFT JOIN
 (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY c_custkey""")(
-    lambda s: Facade(s, "customer").query("$with=orders(o_orderstatus=F&$sort=-o_totalprice&$limit=3)&$limit=10000000").select("c_custkey", F.transform("orders", lambda o: o["o_orderkey"]).alias("keys"))
+    lambda s: Facade(s, "customer").query("$with=orders(o_orderstatus=F&$sort=-o_totalprice&$limit=3)&$limit=none").select("c_custkey", F.transform("orders", lambda o: o["o_orderkey"]).alias("keys"))
 )
-query("url_search", _T + "SELECT doc_id FROM t WHERE list_contains(w || v, 'of') AND list_contains(w || v, 'the')")(lambda s: Facade(s, "documents").query("$search=of the&$limit=10000000").select("doc_id"))
+query("url_search", _T + "SELECT doc_id FROM t WHERE list_contains(w || v, 'of') AND list_contains(w || v, 'the')")(lambda s: Facade(s, "documents").query("$search=of the&$limit=none").select("doc_id"))
 query("url_one", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 17")(lambda s: Facade(s, "orders").one("17", "$select=o_orderkey,o_totalprice"))
-query("overlay", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")(lambda s: Facade(s, "orders", overlay={"o_orderstatus": "F"}).query("o_totalprice>200000&$limit=100000000&$select=o_orderkey"))
+query("overlay", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")(lambda s: Facade(s, "orders", overlay={"o_orderstatus": "F"}).query("o_totalprice>200000&$limit=none&$select=o_orderkey"))
 query("meta_fields", None)(lambda s: s.spark.createDataFrame([(m.name, f["name"], f["type"], f["filterable"]) for m in MODELS for f in s.table(m.name).meta()["fields"]], "tbl string, name string, type string, filterable boolean"))
 
 

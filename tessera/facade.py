@@ -16,7 +16,7 @@ from .operators.actions import Action, augment
 from .plans.urlquery import parse_url
 from .sources.space import Space
 
-#: Fixed value: rows of a plain query without a limit.
+#: Fixed value: rows of a plain query that names no limit; ``$limit=none`` asks for all.
 DEFAULT_LIMIT = 1000
 
 

@@ -152,6 +152,8 @@ def parse_url(text: str, decode: bool = True) -> dict:
         name, _, value = part.partition("=")
         if name in ("$exists", "$!exists"):
             extra += [{f.strip(): {"$exists": name == "$exists"}} for f in value.split(",")]
+        elif name == "$limit" and value == "none":
+            controls[name] = None
         elif name in ("$skip", "$limit", "$page", "$size", "$fuzzy"):
             if not re.fullmatch(r"\d+", value):
                 raise QueryError("INVALID_QUERY", "not a count", name)

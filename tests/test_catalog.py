@@ -50,3 +50,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["geo_url", "overlay", "url_between", "url_exclude", "url_exists", "url_filter", "url_not_group", "url_null", "url_or_precedence", "url_regex", "url_search", "url_sets", "url_with"])
+def test_no_row_cap(spark, sf_dir, name):
+    """Where the statement has no limit, the plan has none."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan and "LocalLimit" not in plan
+
+
+def test_geo_url_beyond_default(spark):
+    """More rows match here than a plain request returns."""
+    sql = catalog.oracle_sql()["geo_url"].replace("FROM customer", "FROM '/root/testdata/sf0.1/customer.parquet'")
+    assert catalog.queries()["geo_url"](spark, "/root/testdata/sf0.1").count() == len(duckdb.sql(sql).fetchall()) > 1000

@@ -61,3 +61,9 @@ def test_coerce_and_sort():
     assert [coerce(x) for x in ("1", "-2.5", "true", "null", "'5'", "x")] == [1, -2.5, True, None, "5", "x"]
     assert parse_sort("-a,b:desc,c") == [("a", -1), ("b", -1), ("c", 1)]
     assert parse_sort([{"a": -1}, "b"]) == [("a", -1), ("b", 1)]
+
+
+def test_no_limit():
+    assert parse_url("a=1&$limit=none")["controls"] == {"$limit": None}
+    with pytest.raises(QueryError):
+        parse_url("$skip=none")
