@@ -4,13 +4,17 @@ The page is parsed into a tree (implied end tags included).  Subtrees that can't
 be article text (scripts, navigation, forms, elements whose class or id says
 advert, comment, sidebar and the like) are cut.  Each paragraph passes points for
 its length and its commas to its ancestors, the whole to the nearest, ever less
-further up; a container's points are discounted by its link density.  The best
-container is kept, and those siblings that score like it or read like prose.
+further up; a container's points are discounted by its link density.  An article
+or main element around the best container is kept, with those siblings that score
+like it or read like prose.  Where there is none, the best container is kept and,
+from its level up to the body, all beside it that scores like it or is low in links:
+headings, quotations, code, short sections and bare text, too.
 
 Defined results: a null page is empty; a page without any candidate gives the
 text of its body, if any, as far as it isn't cut; unclosed and misnested tags are
 closed by their ancestors; repeated rows are extracted row by row; other columns
-are ignored.  No text is dropped for its length.
+are ignored.  No text is dropped for its length, so text low in links that nothing
+marks as around an article is kept.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br option caption".split())
 CUT = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside form button select textarea input label fieldset dialog menu title noembed noframes".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements whose start closes an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Which open elements the start of another closes, and where the search for them ends.
@@ -173,8 +178,8 @@ def score(order: list[Node]) -> list[Node]:
     return list(candidates.values())
 
 
-def kept_nodes(root: Node) -> list[Node]:
-    """The best container with the siblings worth keeping, or the body."""
+def kept_nodes(root: Node) -> list:
+    """The best container with what is worth keeping beside it, or the body."""
     order = measure(root)
     found = score(order)
     if not found:
@@ -188,6 +193,8 @@ def kept_nodes(root: Node) -> list[Node]:
     if best.parent is None or best.tag == "body":
         return [best]
     least, kept = max(2.0, 0.2 * best.score), []
+    if article is None:
+        return surrounded(best, least)
     for node in best.parent.content:
         if node is best:
             kept.append(node)
@@ -198,7 +205,42 @@ def kept_nodes(root: Node) -> list[Node]:
     return kept
 
 
-def text_of(nodes: list[Node]) -> str:
+def surrounded(best: Node, least: float) -> list:
+    """The best container with all beside it and beside its ancestors that scores like it or is low in links."""
+    before, kept = [], [best]
+    while best.parent is not None and best.tag not in ("body", "html"):
+        sides: list[list] = [[]]
+        for unit in units(best.parent.content, best):
+            if unit == [best]:
+                sides.append([])
+                continue
+            chars, link = (sum(x) for x in zip(*((len(c.strip()), 0) if type(c) is str else (c.chars, c.link_chars) for c in unit)))
+            heading = type(unit[0]) is Node and unit[0].tag in HEADINGS
+            sides[-1] += unit if heading or link < 0.25 * chars or any(type(c) is Node and c.score >= least for c in unit) else [" "]
+        before += [" ", *reversed(sides[0])]
+        kept += [" ", *sides[1]]
+        best = best.parent
+    return [*reversed(before), *kept]
+
+
+def units(content: list, best: Node) -> Iterator[list]:
+    """What isn't cut of an element: blocks, and runs of text and inline elements between them."""
+    run: list = []
+    for c in content:
+        if type(c) is Node and c.cut:
+            continue
+        if type(c) is Node and (c is best or c.tag in BLOCKS and c.tag != "br" or not c.inline):
+            if run:
+                yield run
+            yield [c]
+            run = []
+        else:
+            run.append(c)
+    if run:
+        yield run
+
+
+def text_of(nodes: list) -> str:
     """The nodes' text in page order; each white space, and each edge of a block, becomes one space."""
     parts: list[str] = []
     stack: list = list(reversed(nodes))

@@ -24,6 +24,16 @@ def test_article_without_surroundings(wrap):
     assert extract(f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{around}{wrap.format(body)}{after}</body></html>") == want
 
 
+@pytest.mark.parametrize("intro", ['<div class="intro">{}</div>', '<div class="row"><div class="col">{}</div></div>'])
+def test_short_siblings_stay(intro):
+    first = f"<p>{LONG * 4}</p>"
+    links = '<div class="list"><ul><li><a href="/a">One page</a><li><a href="/b">Another page</a></ul></div>'
+    rest = '<h2><a href="#s">Sub</a></h2>bare <a href="/c">text</a> that goes on here<pre>x = 1</pre><blockquote>Short.</blockquote><div class="more"><p>Short end.</p></div>'
+    want = " ".join(f"{LONG * 4} Sub bare text that goes on here x = 1 Short. Short end.".split())
+    assert extract(f'<body><div id="post">{intro.format(first)}{rest}</div>{links}</body>') == want
+    assert extract(f'<body>{links}<div id="post">{intro.format(first)}{links}{rest}</div></body>') == want
+
+
 def test_very_long_and_deep():
     assert len(extract("<div>" * 5000 + LONG)) == len(LONG) - 1
     assert len(extract("<p>" + "word " * 200_000).split()) == 200_000
