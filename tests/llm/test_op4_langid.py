@@ -36,3 +36,9 @@ def test_odd_texts(spark):
 def test_ties_and_unknown_letters():
     parser = op4_langid.CrossParser({"b": "aaa", "a": "aaa"})
     assert parser.predict("aa")[0] == "a" and parser.predict("ζζ")[0] == "a"
+
+
+def test_sample_is_as_large_as_stated(spark):
+    rows = [(i, "abcd " * 400, "en") for i in range(100)]
+    got = op4_langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert op4_langid.SAMPLE_CHARS == 50_000 <= len(got["en"])
