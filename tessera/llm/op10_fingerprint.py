@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import documents, let, written
 
 #: Code points of a piece of a paragraph; cells of a subtable of the fingerprint.
 PIECE, CELLS = 128, 8
@@ -36,11 +36,6 @@ ROUNDS = 12
 BUCKET_BITS = 9
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PIECE}}}"), F.lit(0)), lambda p: F.xxhash64(p)))

@@ -2,12 +2,14 @@
 
 Each dimension of a block of vectors is a list sorted by component; a query reads
 it from the end that its own component favours.  Lists are read sequentially and
-in step, to a quarter, a half and then the whole of their length.  After each
-step every vector has a lower bound (unread components count as the worst value
-of their list) and an upper bound (they count as the value at the frontier).
-Reading stops as soon as no outsider's upper bound reaches the k-th lower bound;
-the scores of the few that are left are then resolved.  All queries of a block
-advance together, so that bounds are matrix products.
+in step, to a half, then three quarters, and on, the unread rest halving each time.
+After each step every vector that may still qualify has a lower bound (its unread
+components count as the worst value of their list) and an upper bound (they count as
+the value at the frontier).  A vector whose upper bound is below the k-th lower bound
+is an outsider for good; bounds are only kept for the others.  Reading stops as soon
+as few are left; their scores are then resolved.  While most vectors may still
+qualify, the bounds of all queries of a block are matrix products; later each query
+goes on over its own candidates.
 
 Blocks of queries meet blocks of vectors by an equi-join on the pair of block
 numbers: no block, and no list of partial results, grows with the table.
@@ -32,50 +34,61 @@ from .shared import ship
 
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 512
-#: How far the lists have been read after each step; what is left is then resolved.
-DEPTHS = (0.25, 0.5)
-#: Share of a block below which the candidates left are resolved one query at a time.
-FEW = 0.02
+#: Reading stops when at most so many times k candidates are left.
+OPEN = 3
+#: Share of a block below which a query's candidates are bounded by themselves.
+FEW = 0.125
 
 
-def nra_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k best (ids, scores) of each query among the integer vectors ``x``."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+def depths(n: int) -> Iterator[int]:
+    """How many entries of each list of ``n`` have been read after each step; all in the end."""
+    unread = n
+    while unread > 1:
+        unread //= 2
+        yield n - unread
+    yield n
+
+
+def nra_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, read: list[float] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The k best (ids, scores) of each query among the integer vectors ``x``.
+
+    ``read``, if given, gets the share of the lists that each query has read.
+    """
     reach = float((np.abs(x).max(axis=0, initial=0).astype(float) * np.abs(q).max(axis=0, initial=0)).sum())
+    # Sums of whole numbers are exact in these types; beyond, in Python's own integers.
     kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else object
-    own = query_ids[:, None] == ids[None, :]
-    if kind is object:  # integers beyond the exact range of doubles
-        scores = q.astype(object) @ x.astype(object).T
-        return [_best(ids, np.array([s for s, o in zip(row, mine) if not o], object), k, np.flatnonzero(~mine)) for row, mine in zip(scores, own)]
     n, x, q = len(ids), x.astype(kind), q.astype(kind)
     signs = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
     lists = np.sort(x, axis=0)
-    low, high = lists[0], lists[-1]
-    out: list = [None] * len(q)
-    active = np.arange(len(q))
-    for depth in DEPTHS if n > 4 * k else ():
-        read = min(n - 1, int(n * depth))
-        top, bottom = lists[n - 1 - read], lists[read]  # frontiers when reading downwards and upwards
-        upper = signs[active] @ np.concatenate([np.maximum(x, top), np.minimum(x, bottom)], axis=1).T
-        lower = signs[active] @ np.concatenate([np.where(x >= top, x, low), np.where(x <= bottom, x, high)], axis=1).T
-        lower[own[active]] = upper[own[active]] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        left = upper >= kth[:, None]
-        done = left.sum(axis=1) <= max(k, int(FEW * n))
-        for row in np.flatnonzero(done):
-            at = np.flatnonzero(left[row] & ~own[active[row]])
-            out[active[row]] = _best(ids, x[at] @ q[active[row]], k, at)
-        active = active[~done]
-        if not len(active):
-            return out
-    scores = q[active] @ x.T
-    scores[own[active]] = -np.inf
-    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-    for row, i in enumerate(active):
-        at = np.flatnonzero((scores[row] >= floor[row]) & ~own[i])
-        out[i] = _best(ids, scores[row][at], k, at)
-    return out
+    live = query_ids[:, None] != ids[None, :]
+    counts = live.sum(axis=1)
+    share = np.zeros(len(q))
+    for depth in depths(n):
+        going = np.flatnonzero(counts > OPEN * k)
+        if not len(going):
+            break
+        top, bottom = lists[n - depth], lists[depth - 1]  # frontiers when reading downwards and upwards
+
+        def bounds(rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lower = np.concatenate([np.where(rows >= top, rows, lists[0]), np.where(rows <= bottom, rows, lists[-1])], axis=1)
+            upper = np.concatenate([np.maximum(rows, top), np.minimum(rows, bottom)], axis=1)
+            return signs[of] @ lower.T, signs[of] @ upper.T
+
+        share[going] = depth / n
+        many = going[counts[going] > FEW * n]
+        if len(many):
+            lower, upper = bounds(x, many)
+            lower = np.where(live[many], lower, -np.inf)
+            live[many] &= upper >= np.sort(lower, axis=1)[:, -k][:, None] if kind is object else upper >= np.partition(lower, n - k, axis=1)[:, n - k][:, None]
+        for i in going[counts[going] <= FEW * n]:
+            at = np.flatnonzero(live[i])
+            lower, upper = (b[0] for b in bounds(x[at], np.array([i])))
+            live[i, at[upper < np.sort(lower)[-k]]] = False
+        counts = live.sum(axis=1)
+    if read is not None:
+        read.extend(share.tolist())
+    left = (np.flatnonzero(row) for row in live)
+    return [_best(ids, x[at] @ q[i], k, at) for i, at in enumerate(left)]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +110,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     n_rows, n_queries = of(vectors, BLOCK), of(queries, QUERY_BLOCK)
 
     def packed(df: DataFrame, name: str, blocks: int, other: str, others: int) -> DataFrame:
-        by = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias(name)
-        whole = df.groupBy("dim", by).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"{name}s"))
+        # By row, not by id: rows that share an id don't share a block.
+        by = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+        whole = df.withColumn(name, by).groupBy("dim", name).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"{name}s"))
         return whole.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     pairs = packed(vectors, "row", n_rows, "query", n_queries).join(packed(queries, "query", n_queries, "row", n_rows).hint("shuffle_hash"), ["dim", "row", "query"])

@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import io
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words in every contract of this package: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries that a worker's word cache holds before it starts afresh.
 CACHE_WORDS = 200_000
+#: Spark's setting that a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the session's warehouse, which executors share too."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera"
     return found.rstrip("/")
 
 
@@ -38,7 +34,12 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes a table to the shared folder and rereads it, which cuts its lineage; also returns its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the table is whole; nothing needs the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -76,6 +77,11 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -128,10 +134,6 @@ def claim(name: str, clear) -> None:
     _CACHES[name] = clear
     for f in others:
         f()
-    if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column) -> list[bytes]:

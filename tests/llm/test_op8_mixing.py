@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -36,7 +37,53 @@ def test_odd_rows(spark):
     assert op8_mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string, draws string")).count() == 0
 
 
-def test_tree_halves_exactly(spark):
-    tokens = spark.range(37).select((F.col("id") % 3).cast("string").alias("skey"), F.col("id").cast("int").alias("block"), F.lit(0).alias("pass"))
-    counts = sorted(r["count"] for r in op8_mixing.split_tree(tokens, 3, 1).groupBy("shard").count().collect())
-    assert sum(counts) == 37 and counts[0] >= 4 and counts[-1] <= 5 and len(counts) == 8
+def test_tree_deals_quotas(spark):
+    quota = {"a": 37, "b": 200, "c": 1, "d": 0}
+    table = spark.createDataFrame(list(quota.items()), "skey string, slots long")
+    rows = op8_mixing.split_tree(table, 3, 1).collect()
+    shards, at = defaultdict(int), defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r["skey"], r["shard"])):
+        assert r["lo"] == at[r["skey"]] < r["hi"]  # disjoint runs that follow each other
+        at[r["skey"]] = r["hi"]
+        shards[r["shard"]] += r["hi"] - r["lo"]
+    assert dict(at) == {s: n for s, n in quota.items() if n}
+    assert sorted(shards) == list(range(8)) and set(shards.values()) <= {29, 30}
+
+
+def test_draws_are_hypergeometric(spark):
+    """Against the exact probabilities of 7 of 20, of which 9 are ours."""
+    n = 4000
+    u = (F.col("id") + 0.5) / n
+    long = lambda x: F.lit(x).cast("long")
+    got = spark.range(n).select(op8_mixing.hypergeometric(long(9), long(20), long(7), u).alias("x")).groupBy("x").count().collect()
+    want = {x: math.comb(9, x) * math.comb(11, 7 - x) / math.comb(20, 7) for x in range(8)}
+    for r in got:
+        assert abs(r["count"] / n - want.pop(r["x"])) < 1.5 / n + 1e-9
+    assert all(p < 1 / n for p in want.values())
+
+
+def test_permuted_is_a_bijection(spark):
+    for bits in (6, 7, 13):
+        got = spark.range(1 << bits).select(op8_mixing.permuted(F.col("id"), F.lit(bits), F.lit(5)).alias("p"))
+        assert sorted(r["p"] for r in got.collect()) == list(range(1 << bits)) != [r["p"] for r in got.collect()]
+
+
+def test_many_blocks_and_shards(spark):
+    r = random.Random(5)
+    docs = [(i, "w " * r.randrange(40), "hot" if i % 3 else r.choice("abc")) for i in range(600)] + [(7, "w " * 9, "hot")] * 60
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = op8_mixing.mix(table, block_words=4, shard_words=300, carry=("text",)).collect()
+    sizes, taken, target, shards = defaultdict(int), defaultdict(int), {}, defaultdict(int)
+    for row in got:
+        assert row["size"] == len(words(row["text"])) and row["taken"] == sum(d["words"] for d in row["draws"])
+        sizes[row["source"]] += row["size"]
+        taken[row["source"]] += row["taken"]
+        target[row["source"]] = row["target"]
+        for d in row["draws"]:
+            shards[d["shard"]] += d["words"]
+    assert len(got) == len(docs) and all(abs(taken[s] - target[s]) <= 1 for s in sizes) and len(shards) == 64
+
+
+def test_first_words(spark):
+    got = spark.createDataFrame([(" a  b\nc d",)], "t string").select(*[op8_mixing.first_words(F.col("t"), F.lit(n)).alias(str(n)) for n in (1, 2, 3, 9)]).first()
+    assert list(got) == [" a", " a  b", " a  b\nc", " a  b\nc d"]
