@@ -1,27 +1,29 @@
 """Substring deduplication with a count-min prefilter.
 
-A window is ``WINDOW`` consecutive words.  The first pass keeps a count-min sketch
-of all windows: every chunk of documents sketches its own, the parts are merged
-by cell range, and of the merged sketch only one bit a cell is needed, whether the
-count is two or more.  A count in the sketch is never too low, so a second pass
-has to group exactly only the windows all of whose cells are set; none is lost.
+A window is ``WINDOW`` consecutive words.  Documents are packed into chunks.  The
+first pass keeps a count-min sketch of all windows, dealt by hash range: a chunk
+sends the cells of its windows to their ranges, a range merges what comes to its
+part of the sketch and answers each chunk which of its cells hold two or more
+windows.  A count in the sketch is never too low, so a second pass has to group
+exactly only the windows all of whose cells are set; none is lost.
 
 The exact grouping is by 64-bit hashes of whole windows, dealt by hash range.  A
 chunk sends each of its distinct windows once: one that occurs twice within the
 chunk is known to repeat and needs no answer, so a passage that a third of all
-documents share costs one entry a chunk.  The sketch grows with the input up to
-``MOST_CELLS``; beyond, it lets more windows through to the exact pass, which is
-slower and as right.
+documents share costs one entry a chunk.  The sketch grows with the input and stays
+where it is dealt: nothing of it is collected or broadcast.
 
 Defined results: a null text has no words; a document shorter than a window has
 no window and is kept; windows are judged on the input, the same document
-included; repeated rows repeat each other; an empty table gives an empty result;
-other columns are ignored.
+included; repeated rows, also those without an id, repeat each other; a very long
+text is one chunk; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import by_part, chunked, pack, runs, unpack
-from .shared import documents, hashed_words, mixed, ship
+from .packing import by_part, frozen, pack, row_chunks, runs, thawed, unpack
+from .shared import chunk_bytes, claim, discard, documents, forget_words, hash_ranges, hashed_words, mixed, ship, text_bytes, text_size, written
 
 #: Words of a window.
 WINDOW = 35
-#: Words of a chunk.
-CHUNK = 250_000
-#: Rows of the sketch; cells for each window; least and most cells of all rows.
-ROWS, CELLS_A_WINDOW, LEAST_CELLS, MOST_CELLS = 2, 4, 1 << 18, 1 << 29
-#: Cell ranges of each row that are merged apart from each other.
-RANGES = 64
-#: Text bytes for each hash range of the exact pass and each bucket of documents.
-PART_BYTES = 8_000_000
+#: Text bytes of a chunk, at least, and for each hash range.
+CHUNK_BYTES, PART_BYTES = 2_000_000, 16_000_000
+#: Rows of the sketch; bytes of text for each cell of a row; least cells of a row's range, as a power of two.
+ROWS, BYTES_A_CELL, LEAST_BITS = 2, 3, 10
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = {"n": 0}
 
@@ -74,113 +73,135 @@ def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mixed(hashes ^ np.uint64(0xA5A5A5A5 * (row + 1))) >> np.uint64(64 - bits)
 
 
-def sketch(docs: DataFrame, size: int, bits: int) -> bytes:
-    """One bit for each cell of each row: two or more windows fell into it."""
-    range_bits = max(0, bits - (RANGES.bit_length() - 1))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in chunked(batches, CHUNK):
-            found, _, _ = windows(words, size)
-            out: list[tuple[int, bytes]] = []
-            for row in range(ROWS):
-                cells = np.sort(cells_of(found, row, bits))
-                starts, lengths = runs(cells)
-                cells = cells[starts]
-                for part, at in by_part((cells >> np.uint64(range_bits)).astype(np.int64), RANGES):
-                    inside = (cells[at] & np.uint64((1 << range_bits) - 1)).astype(np.uint32)
-                    more = lengths[at] > 1
-                    out.append((row * RANGES + part, pack(inside[~more], inside[more])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "cells"])
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, data): the rows of ``docs`` in chunks of some ``size`` bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for rows in row_chunks(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([frozen(rows)], pa.binary())], names=["chunk", "data"])
+            chunk += 1
+
+    return docs.mapInArrow(run, "chunk long, data binary")
+
+
+def chunk_words(data: bytes) -> list[list[bytes]]:
+    claim("words", forget_words)
+    return [t.split() for c in thawed(data).column("text").chunks for t in text_bytes(c)]
+
+
+class Cells:
+    """Where the windows of a chunk fall in one row of the sketch: distinct cells in order, range after range."""
+
+    def __init__(self, hashes: np.ndarray, row: int, ranges: int, bits: int):
+        part = hashes >> np.uint64(64 - (ranges.bit_length() - 1))
+        cell = part << np.uint64(bits) | cells_of(hashes, row, bits)
+        self.order = np.argsort(cell)
+        starts, self.lengths = runs(cell := cell[self.order])
+        self.inside = (cell[starts] & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        self.edges = np.searchsorted(cell[starts], np.arange(ranges + 1, dtype=np.uint64) << np.uint64(bits))
+
+    def of_windows(self, on: np.ndarray) -> np.ndarray:
+        """What is known of the cells, for each window."""
+        out = np.empty(len(self.order), bool)
+        out[self.order] = np.repeat(on, self.lengths)
+        return out
+
+
+def sketched(held: DataFrame, size: int, ranges: int, bits: int) -> DataFrame:
+    """(chunk, part, data): for each chunk and range, which of the chunk's cells there hold two or more windows."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found, _, _ = windows(chunk_words(data.as_py()), size)
+                rows = [Cells(found, r, ranges, bits) for r in range(ROWS)]
+                del found
+                parts = np.flatnonzero(np.diff(rows[0].edges)).tolist()
+                sent = [pack(*[x for c in rows for at in [slice(c.edges[p], c.edges[p + 1])] for x in (c.inside[at], np.packbits(c.lengths[at] > 1))]) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(sent, pa.binary())], names=["part", "chunk", "data"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = held.setdefault(part, np.zeros(1 << range_bits, np.uint8))
-                once, more = unpack(data.as_py())
-                counts[once] = np.minimum(counts[once], 1) + 1
-                counts[more] = 2
-        for part, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], names=["part", "bits"])
-
-    made = docs.mapInArrow(parts, "part int, cells binary").repartition(RANGES // 2, "part").mapInArrow(merge, "part int, bits binary")
-    width = max(1, (1 << range_bits) // 8)
-    whole = bytearray(width * ROWS * RANGES)
-    for r in made.collect():
-        whole[r["part"] * width : (r["part"] + 1) * width] = r["bits"]
-    return bytes(whole)
-
-
-def estimated_repeated(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    range_bits = max(0, bits - (RANGES.bit_length() - 1))
-    width, ok = max(1, (1 << range_bits) // 8), np.ones(len(hashes), bool)
+            for part, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, []).append((chunk, data))
+        for part in list(held):
+            messages, counts = held.pop(part), np.zeros((ROWS, 1 << bits), np.uint8)
+            for _, data in messages:
+                got = unpack(data)
+                for row in range(ROWS):
+                    cells, more = got[2 * row], np.unpackbits(got[2 * row + 1], count=len(got[2 * row]))
+                    counts[row, cells] = np.minimum(counts[row, cells], 1) + 1 + more
+            for start in range(0, len(messages), 256):
+                some = messages[start : start + 256]
+                answers = [pack(*[np.packbits(counts[row, unpack(data)[2 * row]] > 1) for row in range(ROWS)]) for _, data in some]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "part", "data"])
+
+    sent = held.mapInArrow(emit, "part int, chunk long, data binary").repartition(ranges, "part")
+    return sent.mapInArrow(merge, "chunk long, part int, data binary")
+
+
+def estimated_repeated(found: np.ndarray, answers: list[tuple[int, bytes]], ranges: int, bits: int) -> np.ndarray:
+    """For each window of a chunk, whether all its cells hold two or more, by the ranges' answers."""
+    ok = np.ones(len(found), bool)
+    got = [unpack(data) for _, data in sorted(answers)]
     for row in range(ROWS):
-        cells = cells_of(hashes, row, bits)
-        inside = cells & np.uint64((1 << range_bits) - 1)
-        at = (np.uint64(row * RANGES) + (cells >> np.uint64(range_bits))) * np.uint64(width) + (inside >> np.uint64(3))
-        ok &= (bitmap[at] >> (7 - (inside & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        cells = Cells(found, row, ranges, bits)
+        sizes = np.diff(cells.edges)
+        on = [np.unpackbits(g[row], count=n) for g, n in zip(got, sizes[np.diff(cells.edges) > 0])]
+        ok &= cells.of_windows(np.concatenate(on).astype(bool))
     return ok
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, int]:
-    """Where the windows that occur more than once start.
+def repeated_windows(held: DataFrame, answers: DataFrame, size: int, ranges: int, bits: int) -> DataFrame:
+    """(chunk, data): the documents, by their place in the chunk, and the places in them where windows start that occur more than once."""
 
-    ``docs`` has (key long, text).  Returns a table of (bucket, starts), where a
-    row packs document keys, places in them and the places of windows, and the
-    number of buckets; a document is in bucket pmod(key, buckets).
-    """
-    ship(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    cells = min(MOST_CELLS, max(LEAST_CELLS, CELLS_A_WINDOW * total // 6)) // ROWS
-    bits = cells.bit_length() - (cells & (cells - 1) == 0)
-    parts = max(16, -(-total // PART_BYTES))
-    bitmap = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, min(bits, (MOST_CELLS // ROWS).bit_length() - 1)))
-    bits = min(bits, (MOST_CELLS // ROWS).bit_length() - 1)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(bitmap.value, np.uint8)
-        for keys, words in chunked(batches, CHUNK):
-            keys = np.array(keys, np.int64)
-            found, doc, place = windows(words, size)
-            del words
-            kept = np.flatnonzero(estimated_repeated(seen, found, bits))
+    def candidates(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        out: list[tuple[int, bytes]] = []
+        key = None
+        if chunk.num_rows and answered.num_rows:
+            key = chunk.column("chunk")[0].as_py()
+            found, doc, place = windows(chunk_words(chunk.column("data")[0].as_py()), size)
+            kept = np.flatnonzero(estimated_repeated(found, list(zip(answered.column("part").to_pylist(), answered.column("data").to_pylist())), ranges, bits))
             found, doc, place = found[kept], doc[kept], place[kept]
-            order = np.argsort(found, kind="stable")
+            order = np.argsort(found)
             starts, lengths = runs(found[order])
             more = np.zeros(len(found), bool)
             more[order] = np.repeat(lengths > 1, lengths)
             several = found[order][starts[lengths > 1]]
-            part = (found % np.uint64(parts)).astype(np.int64)
-            for p, own in by_part(part, parts):
+            part, part_of = ((x >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64) for x in (found, several))
+            edges = np.searchsorted(part_of, np.arange(ranges + 1))
+            for p, own in by_part(part, ranges):
                 single, known = own[~more[own]], own[more[own]]
-                data = pack(keys, found[single], doc[single], place[single], several[several % np.uint64(parts) == p], doc[known], place[known])
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([data], pa.binary())], names=["part", "windows"])
+                out.append((p, pack(found[single], doc[single], place[single], several[edges[p] : edges[p + 1]], doc[known], place[known])))
+        return pa.table([pa.array([p for p, _ in out], pa.int32()), pa.array([key] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["part", "chunk", "data"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[np.ndarray]]] = {}
+        by: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, single, doc, place, several, known_doc, known_place = unpack(data.as_py())
-                held.setdefault(part, []).append([single, keys[doc], place, several, keys[known_doc], known_place])
-        for part in list(held):
-            single, key, place, several, known_key, known_place = (np.concatenate(x) for x in zip(*held.pop(part)))
-            every = np.concatenate([single, several])
-            order = np.argsort(every, kind="stable")
+            for part, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                by.setdefault(part, []).append((chunk, data))
+        for part in list(by):
+            messages = by.pop(part)
+            got = [unpack(data) for _, data in messages]
+            ends = np.cumsum([len(g[0]) for g in got])
+            every = np.concatenate([g[0] for g in got] + [g[3] for g in got])
+            order = np.argsort(every)
             starts, lengths = runs(every[order])
             repeated = np.zeros(len(every), bool)
             repeated[order] = np.repeat(lengths > 1, lengths)
-            repeated = repeated[: len(single)]
-            if len(several):
-                repeated |= np.isin(single, several)
-            key, place = np.concatenate([key[repeated], known_key]), np.concatenate([place[repeated], known_place])
-            for bucket, at in by_part(key % parts, parts):
-                at = at[np.lexsort((place[at], key[at]))]
-                firsts, counts = runs(key[at])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(key[at][firsts], counts.astype(np.uint32), place[at])], pa.binary())], names=["bucket", "starts"])
+            del every, order
+            for (chunk, _), end, (single, doc, place, _, known_doc, known_place) in zip(messages, ends, got):
+                on = repeated[end - len(single) : end]
+                if on.any() or len(known_doc):
+                    data = pack(np.concatenate([doc[on], known_doc]), np.concatenate([place[on], known_place]))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
-    found = docs.mapInArrow(candidates, "part int, windows binary").repartition(parts, "part").mapInArrow(group, "bucket int, starts binary")
-    return found, parts
+    sent = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(candidates, "part int, chunk long, data binary")
+    return sent.repartition(ranges, "part").mapInArrow(group, "chunk long, data binary")
 
 
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -191,51 +212,65 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, *, carry: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
+def without(text: bytes, gone: np.ndarray) -> bytes:
+    """A text without some of its words and the white space behind them; all else is as it was."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    for first, after in zip(edges[::2], edges[1::2]):
+        out.append(text[at : spans[first][0]])
+        at = spans[after][0] if after < len(spans) else len(text)
+    out.append(text[at:])
+    return b"".join(out)
+
+
+def remove_repeats(docs: DataFrame, size: int = WINDOW, *, carry: tuple[str, ...] = (), keep_text: bool = True, chunk: int | None = None, ranges: int | None = None) -> DataFrame:
     """Removes every word that a repeated window covers.
 
-    Returns doc_id, n_words, n_removed, kept_sha256, the columns in ``carry`` and,
-    with ``keep_text``, ``kept``: the kept words joined by one space.
+    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
+    space), the columns in ``carry`` and, with ``keep_text``, ``kept``: the text
+    without the removed words, its other words and their white space as they were.
+    ``chunk`` (text bytes) and ``ranges`` (a power of two) follow from the input's size.
     """
-    held = [f"carry_{i}" for i in range(len(carry))]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"), *[F.col(c).alias(h) for c, h in zip(carry, held)])
-    starts, parts = repeated_windows(keyed.select("key", "text"), size)
-    left = keyed.withColumn("bucket", F.pmod("key", F.lit(parts)).cast("int"))
-    right = starts.withColumnRenamed("bucket", "at_bucket")
-    kinds = [keyed.schema[h].dataType.simpleString() for h in held]
+    spark = docs.sparkSession
+    ship(spark)
+    fields = [f"carry_{i}" for i in range(len(carry))]
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(h) for c, h in zip(carry, fields)])
+    total = text_size(read)
+    ranges = ranges or hash_ranges(total, PART_BYTES)
+    bits = max(LEAST_BITS, (total // BYTES_A_CELL // ranges).bit_length())
+    held, held_at = written(chunks(read, chunk or chunk_bytes(total, CHUNK_BYTES)), "substring-chunks")
+    answers, answers_at = written(sketched(held, size, ranges, bits), "substring-sketch")
+    marks, _ = written(repeated_windows(held, answers, size, ranges, bits), "substring-marks")
+    discard(spark, answers_at)
+    kinds = [read.schema[h].dataType.simpleString() for h in fields]
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text + "".join(f", `{c}` {kind}" for c, kind in zip(carry, kinds))
 
-    def remove(rows: pa.Table, marks: pa.Table) -> pa.Table:
-        places: dict[int, list[np.ndarray]] = {}
-        for data in marks.column("starts"):
-            keys, counts, place = unpack(data.as_py())
-            for key, at in zip(keys.tolist(), np.split(place, np.cumsum(counts)[:-1])):
-                places.setdefault(key, []).append(at)
-        from .shared import claim, forget_words, text_bytes
-
-        claim("words", forget_words)
+    def remove(chunk: pa.Table, marked: pa.Table) -> pa.Table:
+        rows = thawed(chunk.column("data")[0].as_py())
+        doc, place = (np.concatenate(x) for x in zip((np.empty(0, np.uint32),) * 2, *(unpack(d) for d in marked.column("data").to_pylist())))
+        order = np.argsort(doc, kind="stable")
+        doc, place = doc[order], place[order].astype(np.int64)
+        edges = np.searchsorted(doc, np.arange(rows.num_rows + 1))
         n_words, n_removed, digest, kept = [], [], [], []
-        for key, text in zip(rows.column("key").to_pylist(), (t for c in rows.column("text").chunks for t in text_bytes(c))):
+        for i, text in enumerate(t for c in rows.column("text").chunks for t in text_bytes(c)):
             words = text.split()
-            removed = 0
-            if key in places:
-                out = covered(np.concatenate(places[key]).astype(np.int64), len(words), size)
-                removed = int(out.sum())
-                words, n = [words[i] for i in np.flatnonzero(~out)], len(words)
-            else:
-                n = len(words)
-            joined = b" ".join(words)
-            n_words.append(n)
-            n_removed.append(removed)
-            digest.append(hashlib.sha256(joined).hexdigest())
+            n_words.append(len(words))
+            n_removed.append(0)
+            if edges[i + 1] > edges[i]:
+                gone = covered(place[edges[i] : edges[i + 1]], len(words), size)
+                n_removed[-1] = int(gone.sum())
+                words = [words[j] for j in np.flatnonzero(~gone)]
+                text = without(text, gone) if keep_text else text
+            digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
             if keep_text:
-                kept.append(joined.decode("utf-8"))
+                kept.append(text.decode("utf-8"))
         columns = {"doc_id": rows.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if keep_text:
             columns["kept"] = pa.array(kept, pa.string())
-        return pa.table({**columns, **{c: rows.column(h) for c, h in zip(carry, held)}})
+        return pa.table({**columns, **{c: rows.column(h) for c, h in zip(carry, fields)}})
 
-    return left.groupBy("bucket").cogroup(right.groupBy("at_bucket")).applyInArrow(remove, ddl)
+    return held.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, ddl)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,45 @@ def by_part(parts: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part), order[edges[part] : edges[part + 1]]
 
 
+def row_chunks(batches: Iterable, size: int) -> Iterator:
+    """Runs of rows, as Arrow tables, of some ``size`` bytes of text; a document is never cut."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, amount = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = amount + np.cumsum(lengths), 0
+        while start < len(ends):
+            stop = int(np.searchsorted(ends, size)) + 1
+            if stop > len(ends):
+                held.append(batch.slice(start))
+                amount = int(ends[-1])
+                break
+            held.append(batch.slice(start, stop - start))
+            yield pa.Table.from_batches(held)
+            held, amount = [], 0
+            ends, start = ends - ends[stop - 1], stop
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def frozen(table) -> bytes:
+    """An Arrow table as compressed bytes."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def thawed(data):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+
+
 def chunked(batches: Iterable, size: int, lower: bool = False) -> Iterator[tuple[list, list[list[bytes]]]]:
     """Rows of (key, text) batches with their words, some ``size`` words at a time; a document is never cut.
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries that a worker's word cache holds before it starts afresh.
 CACHE_WORDS = 200_000
+#: Hash ranges at most: at 100 TB a range then answers for 1.5 GB of text.
+MOST_RANGES = 1 << 16
 #: Spark's setting that a query's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch at most.
@@ -82,6 +84,25 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+def hash_ranges(size: int, part_bytes: int) -> int:
+    """How many hash ranges, a power of two, to deal the entries of ``size`` bytes of text to.
+
+    Each chunk of documents sends a message to each range, so chunks grow too
+    (:func:`chunk_bytes`), and beyond ``MOST_RANGES`` ranges grow instead of their number.
+    """
+    return min(MOST_RANGES, 1 << max(4, (size // part_bytes).bit_length()))
+
+
+def chunk_bytes(size: int, least: int) -> int:
+    """Text bytes of a chunk: ``least``, and for inputs of over 10 000 such chunks up to eight times as much."""
+    return min(8 * least, max(least, size // 10_000))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
