@@ -30,6 +30,16 @@ from .shared import claim, documents, ship
 
 #: The published split pattern of byte-level BPE vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and numbers that only later versions of Unicode know than the library's 16.0, as first and last code point.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
 #: Pieces and fragments a worker remembers; each cache starts afresh when full.
 CACHE = 200_000
 #: Longer pieces are not worth remembering.
@@ -46,11 +56,22 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def _checked(spec: dict) -> bool:
+    """Whether a space goes before a text; settings of the file that this encoder doesn't follow are refused."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [k for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if wrong or spec.get("normalizer") or before.get("type") != "ByteLevel" or not before.get("use_regex", True):
+        raise ValueError(f"not a plain byte-level vocabulary: {wrong or 'normalizer or pre-tokenizer'}")
+    return bool(before.get("add_prefix_space"))
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder of one byte-level BPE vocabulary (the JSON text of a tokenizers file)."""
 
     def __init__(self, spec: str):
         read = json.loads(spec)
+        self.prefix_space = _checked(read)
         model, letters = read["model"], byte_letters()
         to_bytes = lambda token: bytes(letters[c] for c in token)
         vocab = model["vocab"]
@@ -67,7 +88,10 @@ class ForcedBoundaryBpe:
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.new_of.append(vocab[a + b])
         self.joinable = {p for t in vocab if len(t) > 1 for b in [to_bytes(t)] for p in zip(b, b[1:])}
-        self.pieces = regex.compile(PIECES)
+        later = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER)
+        self.pieces, self.later = regex.compile(PIECES), regex.compile(f"[{later}]")
+        # The same pattern for texts with such characters, which are neither letters nor numbers to the library.
+        self.pieces_later = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{later}]]").replace(r"?\p{L}+", rf"?[\p{{L}}--[{later}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{later}]]+"), regex.V1)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = [str(i) for i in range(max(self.token) + 1)]
         self.bytes_of = [self.token.get(i) for i in range(len(self.names))]
@@ -148,14 +172,14 @@ class ForcedBoundaryBpe:
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text; special tokens written out in it count as such."""
-        if self.splits is None or not any(s in text for s in self.special):
-            return list(chain.from_iterable(map(self.by_piece.__getitem__, self.pieces.findall(text))))
+        pattern = self.pieces if text.isascii() or not self.later.search(text) else self.pieces_later
         ids: list[int] = []
-        for part in self.splits.split(text):
+        for part in self.splits.split(text) if self.splits is not None and any(s in text for s in self.special) else (text,):
             if part in self.special:
                 ids.append(self.special[part])
-            else:
-                ids.extend(chain.from_iterable(map(self.by_piece.__getitem__, self.pieces.findall(part))))
+            elif part:
+                part = " " + part if self.prefix_space and part[0] != " " else part
+                ids.extend(chain.from_iterable(map(self.by_piece.__getitem__, pattern.findall(part))))
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -1,26 +1,30 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The text is read once, in chunks.  The distinct words and word pairs of a chunk,
-with their counts in its training documents, go to their hash ranges.  A range
-sums them, exactly, quantises the sums to powers of two and puts an n-gram of level
-q into its segment of a Bloom filter as (n-gram, 1) to (n-gram, q); to estimate a
-count, level after level is probed until one is missing.  What it finds goes back to
-the chunks that asked.  A pair is scored by the smoothed probability
-
-    p(w | v) = b * c(v, w) / c(v) + (1 - b) * p(w),   b = SHARE * c(v) / (c(v) + MU)
-    p(w) = (c(w) + 1) / (N + V + 1)
-
-of these estimates, so a pair that wasn't seen falls back to its word.  The exact
-counts of words come back too: the base score needs them, and for the most frequent
-words the model uses them.
-
-The filter holds all words and pairs: there are more ranges for a larger input, each
+The text is read once, in chunks.  The distinct words, word pairs and triples of a
+chunk, with their counts in its training documents, go to their hash ranges.  A range
+sums them, exactly, quantises the sums of pairs and triples and puts an n-gram of
+level q into its segment of a Bloom filter as (n-gram, 1) to (n-gram, q); to estimate
+a count, level after level is probed until one is missing.  What it finds goes back to
+the chunks that asked, with the exact counts of their words, which the base score
+needs.  A token w after u v is scored by the smoothed probability
+
+    p(w | u v) = b * c(u, v, w) / C(u, v) + (1 - b) * p(w | v),   b = SHARE * C(u, v) / (C(u, v) + MU_TRIPLE)
+    p(w | v) = a * c(v, w) / C(v) + (1 - a) * p(w),               a = SHARE * C(v) / (C(v) + MU_PAIR)
+    p(w) = (C(w) + 1) / (N + V + 1)
+
+A level stands for its least count in c, and for its largest one in C(u, v); words
+have their exact counts.  So what the filter finds never adds up to more than 1 for a
+context, but for the filter's few false hits.  An n-gram that wasn't seen falls back
+to the shorter one.
+
+The filter holds all pairs and triples: there are more ranges for a larger input, each
 segment is as large as its entries need, and no worker holds more than one.
 
 Defined results: a null text is empty and has the one end token; a row with a
 null id isn't held out and isn't learnt from; with no training token the scores
 are those of c = N = V = 0; repeated rows are scored each; an empty table gives an
-empty result; other columns are ignored.
+empty result; a very long text is one chunk; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,20 +37,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import chunked, pack, runs, unpack
-from .shared import documents, hashed_words, mixed, ship, written
+from .shared import chunk_bytes, documents, hash_ranges, hashed_words, mixed, ship, written
 
-#: Words of a chunk; text bytes for each hash range.
-CHUNK, PART_BYTES = 750_000, 16_000_000
+#: Words of a chunk, at least, and the bytes that a word is taken to have; text bytes for each hash range.
+CHUNK, WORD_BYTES, PART_BYTES = 500_000, 6, 16_000_000
 #: Bits of the filter for each entry, and its probes for one.
 ENTRY_BITS, PROBES = 7, 4
-#: Words whose exact counts the model uses.
-MOST_WORDS = 1 << 20
-#: The largest weight of a pair's frequency, and the count of the first word at which it is half of that.
-SHARE, MU = 0.5, 100.0
+#: The largest weight of an n-gram's frequency, and the counts of its context at which the weight is half of that.
+SHARE, MU_PAIR, MU_TRIPLE = 0.5, 20.0, 1.0
 #: The tokens before the first word and after the last.
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
-#: Levels of quantised counts.
-LEVELS = 40
+#: The least count of each level: 1, 2, 3, 4, 6, 8, 12 and so on, two levels for a doubling.
+LEAST = np.array([0] + sorted({1 << k for k in range(41)} | {3 << k for k in range(40)}), np.int64)
+LEVELS = len(LEAST) - 2
 
 
 def tokens_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +71,17 @@ def pairs_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(mixed(before + np.uint64(0x9E3779B97F4A7C15)) ^ token)
 
 
+def triples_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Each token with the two before it; the first one of a text has the start twice."""
+    earlier = np.where(before == START, START, np.concatenate([[START], before[:-1]]).astype(np.uint64)) if len(token) else token
+    return mixed(pairs_of(pairs_of(earlier, before), token) ^ np.uint64(0xA24BAED4963EE407))
+
+
+def grams_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """All pairs, then all triples."""
+    return np.concatenate([pairs_of(before, token), triples_of(before, token)])
+
+
 def counted(values: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, in order, and how often each one occurs where it is learnt from."""
     order = np.argsort(values)
@@ -96,12 +110,25 @@ def unrisen(data: np.ndarray) -> np.ndarray:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(LEVELS, 1 + np.log2(np.maximum(counts, 1)).astype(np.int64))
+    """The level of each count; 0 for none."""
+    return np.minimum(LEVELS, np.searchsorted(LEAST, counts, side="right") - 1)
 
 
 def count_at(level: np.ndarray) -> np.ndarray:
-    """A usual count of a level, for counts that thin out as they rise; 0 for level 0."""
-    return np.where(level > 0, np.where(level == 1, 1.0, 1.39 * 2.0 ** (level - 1.0)), 0.0)
+    """The least count of a level."""
+    return LEAST[level]
+
+
+def most_at(level: np.ndarray) -> np.ndarray:
+    """The largest count of a level; 0 for level 0."""
+    return np.where(level > 0, LEAST[level + 1] - 1, 0)
+
+
+def smoothed(word: np.ndarray, context: np.ndarray, pair: np.ndarray, context2: np.ndarray, triple: np.ndarray) -> np.ndarray:
+    """p(w | u v) from p(w), C(v), c(v, w), C(u, v) and c(u, v, w)."""
+    a, b = SHARE * context / (context + MU_PAIR), SHARE * context2 / (context2 + MU_TRIPLE)
+    p = a * np.minimum(pair, context) / np.maximum(context, 1) + (1 - a) * word
+    return b * np.minimum(triple, context2) / np.maximum(context2, 1) + (1 - b) * p
 
 
 class LogBloom:
@@ -147,24 +174,24 @@ def segment(hashes: np.ndarray, level: np.ndarray) -> LogBloom:
     return LogBloom(np.packbits(on, bitorder="little"), 1)
 
 
-def answered(rows: DataFrame, parts: int) -> DataFrame:
+def answered(rows: DataFrame, parts: int, chunk_words: int = CHUNK) -> DataFrame:
     """What the hash ranges find for each chunk, and the chunks; ``rows`` are (row, text).
 
     A row with neither chunk nor data has the sums of a range.  A row with part -1 is
     a chunk: its documents, its distinct words and the word of each token.  Any other is
-    a range's answer: exact counts and levels of the chunk's words, levels of its pairs.
+    a range's answer: exact counts of the chunk's words, levels of its pairs and triples.
     """
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, words in chunked(batches, CHUNK, lower=True):
+        for keys, words in chunked(batches, chunk_words, lower=True):
             token, before, doc = tokens_of(words)
             n = np.array([len(w) + 1 for w in words], np.int64)
             del words
             ids = [k["doc_id"] for k in keys]
             flags = np.array([(i is None) + 2 * k["held_out"] for i, k in zip(ids, keys)], np.uint8)
             learnt = (flags == 0).astype(np.uint8)[doc]
-            (w, wn), (p, pn) = counted(token, learnt), counted(pairs_of(before, token), learnt)
+            (w, wn), (p, pn) = counted(token, learnt), counted(grams_of(before, token), np.concatenate([learnt, learnt]))
             edges = np.arange(parts + 1)
             we, pe = (np.searchsorted((x >> shift).astype(np.int64), edges) for x in (w, p))
             chunk, at, data = keys[0]["key"], [], []
@@ -188,19 +215,16 @@ def answered(rows: DataFrame, parts: int) -> DataFrame:
     def answers(chunks: list[int], part: int, items: list[bytes]) -> Iterator[pa.RecordBatch]:
         asked = [unpack(i) for i in items]
         w, p = ([unrisen(a[i]) for a in asked] for i in (0, 2))
-        (words, wn), (pairs, pn) = add(w, [unplaned(a[1], np.uint32) for a in asked]), add(p, [unplaned(a[3], np.uint32) for a in asked])
+        (words, wn), (grams, pn) = add(w, [unplaned(a[1], np.uint32) for a in asked]), add(p, [unplaned(a[3], np.uint32) for a in asked])
         del asked
-        by_words, by_pairs = (np.where(n > 0, level_of(n), 0) for n in (wn, pn))
-        sums = np.bincount(by_words[wn > 0], minlength=LEVELS + 1).tolist()
-        bloom = segment(np.concatenate([words, pairs]), np.concatenate([by_words, by_pairs]))
-        word_levels, pair_levels = (bloom.levels(x).astype(np.uint8) for x in (words, pairs))
-        yield out([None], [part], [None], int(wn.sum()), sums)
+        level = level_of(pn)
+        found = segment(grams, level).levels(grams).astype(np.uint8)
+        yield out([None], [part], [None], int(wn.sum()), int((wn > 0).sum()))
         for chunk, ws, ps in zip(chunks, w, p):
-            at = np.searchsorted(words, ws)
-            yield out([chunk], [part], [pack(planes(wn[at]), word_levels[at], pair_levels[np.searchsorted(pairs, ps)])])
+            yield out([chunk], [part], [pack(planes(wn[np.searchsorted(words, ws)]), found[np.searchsorted(grams, ps)])])
 
-    def out(chunk: list, part: list, data: list, total: int | None = None, levels: list | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array([total] * len(chunk), pa.int64()), pa.array([levels] * len(chunk), pa.list_(pa.int64()))], names=["chunk", "part", "data", "total", "word_levels"])
+    def out(chunk: list, part: list, data: list, total: int | None = None, distinct: int | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array([total] * len(chunk), pa.int64()), pa.array([distinct] * len(chunk), pa.int64())], names=["chunk", "part", "data", "total", "distinct"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -217,16 +241,7 @@ def answered(rows: DataFrame, parts: int) -> DataFrame:
             yield from answers(chunks, part, items)
 
     dealt = rows.mapInArrow(emit, "part int, chunk long, whole boolean, data binary").repartition(parts, "part")
-    return dealt.mapInArrow(merge, "chunk long, part int, data binary, total long, word_levels array<long>")
-
-
-def least_exact(word_levels: list[int]) -> int:
-    """The lowest level of the words whose exact counts the model uses: as many levels as fit."""
-    least, held = LEVELS + 1, 0
-    while least > 1 and held + word_levels[least - 1] <= MOST_WORDS:
-        least -= 1
-        held += word_levels[least]
-    return least
+    return dealt.mapInArrow(merge, "chunk long, part int, data binary, total long, distinct long")
 
 
 def held_out(folds: int = 7):
@@ -241,13 +256,12 @@ def score(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     first = read.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(~F.col("held_out") & F.col("doc_id").isNotNull()).alias("starts")).first()
-    parts, starts = 1 << max(4, ((first["size"] or 0) // PART_BYTES).bit_length()), float(first["starts"])
+    size, starts = first["size"] or 0, float(first["starts"])
     row = F.struct(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out").alias("row")
-    found, _ = written(answered(read.select(row, "text"), parts), "lm-answers")
-    at = F.array(*[F.sum(F.element_at("word_levels", i + 1)) for i in range(LEVELS + 1)])
-    sums = found.where("chunk IS NULL").agg(F.sum("total").alias("N"), at.alias("levels")).first()
-    total, word_levels = sums["N"] or 0, [x or 0 for x in sums["levels"]]
-    norm, least = float(total + sum(word_levels) + 1), least_exact(word_levels)
+    made = answered(read.select(row, "text"), hash_ranges(size, PART_BYTES), chunk_bytes(size, CHUNK * WORD_BYTES) // WORD_BYTES)
+    found, _ = written(made, "lm-answers")
+    sums = found.where("chunk IS NULL").agg(F.sum("total").alias("N"), F.sum("distinct").alias("V")).first()
+    total, norm = sums["N"] or 0, float((sums["N"] or 0) + (sums["V"] or 0) + 1)
 
     def scored(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")  # the chunk itself, then the answers in the order of their hashes
@@ -255,19 +269,18 @@ def score(docs: DataFrame) -> DataFrame:
         own, where = unrisen(own), unplaned(where, np.uint32)
         got = [unpack(d.as_py()) for d in rows.column("data")[1:]]
         exact = np.concatenate([unplaned(g[0], np.int64) for g in got])
-        word_level, pair_level = (np.concatenate([g[i] for g in got]) for i in (1, 2))
-        estimate = np.where((exact > 0) & (level_of(exact) >= least), exact, count_at(word_level.astype(np.int64)) if total else 0.0)
+        level = np.concatenate([g[1] for g in got]).astype(np.int64)
         begin = np.zeros(len(where), bool)
         begin[np.concatenate([[0], np.cumsum(n)[:-1]])] = True
-        token, last = own[where], np.concatenate([[0], where[:-1]])
-        before = np.where(begin, START, own[last])
-        context = np.where(begin, starts, estimate[last])
-        _, spots = np.unique(pairs_of(before, token), return_inverse=True)
-        pair = np.minimum(count_at(pair_level.astype(np.int64))[spots], context) if total else np.zeros(len(token))
-        share = SHARE * context / (context + MU)
-        p = share * pair / np.maximum(context, 1) + (1 - share) * ((estimate + 1) / norm)[where]
+        after = lambda x: np.where(begin, starts, np.concatenate([x[:1], x[:-1]]))
+        token = own[where]
+        before = np.where(begin, START, np.concatenate([[START], token[:-1]]).astype(np.uint64))
+        _, spots = np.unique(grams_of(before, token), return_inverse=True)
+        pair, triple = level[spots[: len(token)]], level[spots[len(token) :]]
+        word = ((exact + 1) / norm)[where]
+        p = smoothed(word, after(exact[where]), count_at(pair), after(most_at(pair)), count_at(triple))
         doc = np.repeat(np.arange(len(n)), n)
-        base, score, known = (np.bincount(doc, x, len(n)) for x in (np.log10((exact + 1) / norm)[where], np.log10(p), (exact > 0)[where]))
+        base, score, known = (np.bincount(doc, x, len(n)) for x in (np.log10(word), np.log10(p), (exact > 0)[where]))
         return pa.table([pa.array(ids, mask=flags & 1 == 1), pa.array(flags & 2 == 2), pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     asked = found.where("chunk IS NOT NULL").select("chunk", "part", "data").groupBy("chunk")

@@ -1,45 +1,73 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled
-text.  A text is parsed greedily into the longest phrases that occur in that
-sample; a text of the same language needs few, long phrases.  Phrases times the
-logarithm of the sample's length estimate the text's cross entropy in bits; the
+For each language a suffix automaton is built over a bounded sample of whole labelled
+texts.  A text is parsed greedily into the longest phrases that occur in that sample,
+across its words; a text of the same language needs few, long phrases.  Phrases times
+the logarithm of the sample's length estimate the text's cross entropy in bits; the
 language with the fewest such normalised phrases wins.
 
-Phrases don't cross the edge of a word, so the count of a text is the sum over
-its words: a worker parses each distinct word once while its cache holds it.
-All texts are parsed whole.
+Texts are parsed whole, as lower-case letters with one space between words, in pieces
+of ``PIECE`` characters: all pieces of a batch go through the automaton's table
+abreast, one character of each at a time.
 
 Defined results: a null text and a text without any letter is ``und`` with score
 0; equal entropies go to the language that sorts first by code point; rows with
 null doc_id are kept and are never learnt from; an empty or unlabelled table
-learns nothing, and then every text is ``und``.
+learns nothing, and then every text is ``und``; a very long text is many pieces;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import row_chunks
 from .shared import claim, documents, ship
 
-#: A text's words: runs of letters, lower-cased.
-LETTERS = r"\p{L}+"
-#: Characters of each language's text that the automaton is built over.
+#: Characters of each language's text that the automaton is built over; the last text goes beyond, so twice as many at most.
 SAMPLE_CHARS = 50_000
-#: Characters of one document in that sample.
-SAMPLE_DOC_CHARS = 2_000
-#: Distinct words that a worker remembers.
-CACHE = 150_000
-#: Longer words are parsed anew each time.
-LONGEST_CACHED = 64
-#: Bits of each language's phrase count in the packed sum of a text.
-FIELD = 48
+#: Characters of a piece, at whose end a phrase ends; characters of a batch of texts.
+PIECE, BATCH_CHARS = 1024, 4_000_000
+#: Entries of a transition table at most; with a larger alphabet each text is parsed by itself.
+TABLE = 1 << 24
+#: Letters of a stretch of text to whose likelihood the score refers.
+STRETCH = 16.0
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts, lower-cased, other than letters made one space between words; where each text starts; its letters."""
+    low = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    doc = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    letter = letters()[points]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1] & ~letter[1:]
+    where = np.flatnonzero(kept)
+    points, doc, letter = np.where(letter[where], points[where], 0x20), doc[where], letter[where]
+    # A space that nothing of its text follows goes.
+    inner = letter.copy()
+    inner[:-1] |= doc[1:] == doc[:-1]
+    points, doc, letter = points[inner], doc[inner], letter[inner]
+    return points, np.searchsorted(doc, np.arange(len(low) + 1)), np.bincount(doc[letter], minlength=len(low))
+
+
+def _plain(texts: list[str]) -> list[str]:
+    """The normalised texts that have a letter."""
+    points, edges, _ = normalised(texts)
+    return [points[a:b].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(edges, edges[1:]) if b > a]
 
 
 class SuffixAutomaton:
@@ -87,37 +115,93 @@ class SuffixAutomaton:
         return count
 
 
+class Table:
+    """An automaton's transitions as one array, with where a phrase ends.
+
+    An entry is the next state's row, with ``ENDS`` added where the character
+    begins a new phrase, as no longer match exists.
+    """
+
+    ENDS = 1 << 30
+
+    def __init__(self, automaton: SuffixAutomaton, text: str):
+        alphabet = sorted(set(text) - {"\n"})
+        states, width = len(automaton.step), len(alphabet) + 1
+        self.entries = (states + 1) * width
+        if self.entries > TABLE:
+            return
+        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes[[ord(c) for c in alphabet]] = np.arange(1, width)
+        of = {c: i for i, c in enumerate(alphabet, 1)}
+        # The last row is that of a piece's start, and of what follows an unknown character.
+        self.start = states * width
+        root = np.full(width, self.start, np.int32)
+        for c, to in automaton.step[0].items():
+            if c in of:
+                root[of[c]] = to * width
+        table = np.tile(root + self.ENDS, (states + 1, 1)).astype(np.int32)
+        for state, step in enumerate(automaton.step):
+            for c, to in step.items():
+                if c in of:
+                    table[state, of[c]] = to * width
+        self.table = table.ravel()
+
+    def phrases(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The phrases of each piece; longer pieces come first."""
+        classes, state = self.classes[points], np.full(len(starts), self.start, np.int32)
+        count, running = np.zeros(len(starts), np.int32), np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
+        for i, n in enumerate(running.tolist()):
+            to = self.table[state[:n] + classes[starts[:n] + i]]
+            count[:n] += to >> 30
+            state[:n] = to & (self.ENDS - 1)
+        return count
+
+
 class CrossParser:
-    """Languages and their automata; also the parser of one worker, with its cache of words."""
+    """Languages and their automata; also the parser of one worker."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.automata = [SuffixAutomaton(samples[x]) for x in self.langs]
-        self.bits = [math.log2(a.size) for a in self.automata]
-        self.words = regex.compile(LETTERS)
-        outer = self
-
-        class Counts(dict):
-            def __missing__(self, word: str) -> int:
-                packed = sum(a.phrases(word) << FIELD * i for i, a in enumerate(outer.automata))
-                if len(word) <= LONGEST_CACHED:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[word] = packed
-                return packed
-
-        self.counts = Counts()
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """The language, the score and the bits a letter that the winner needs."""
-        words = self.words.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0, 0.0
-        packed, mask = sum(map(self.counts.__getitem__, words)), (1 << FIELD) - 1
-        bits = [(packed >> FIELD * i & mask) * b for i, b in enumerate(self.bits)]
-        least = min(bits)
-        score = 1 / sum(2 ** max(-1000.0, least - b) for b in bits)
-        return self.langs[bits.index(least)], score, least / sum(map(len, words))
+        self.bits = np.array([math.log2(a.size) for a in self.automata])
+        self.tables = [Table(a, samples[x]) for a, x in zip(self.automata, self.langs)]
+        for automaton, table in zip(self.automata, self.tables):
+            if table.entries <= TABLE:
+                automaton.step = []  # the table has it all
+
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases of each text (row) in each language, and its letters."""
+        points, edges, count = normalised(texts)
+        sizes = np.diff(edges)
+        pieces = -(-sizes // PIECE)
+        doc = np.repeat(np.arange(len(texts)), pieces)
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        starts, lengths = edges[:-1][doc] + at, np.minimum(PIECE, sizes[doc] - at)
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths, doc = starts[order], lengths[order], doc[order]
+        out = np.zeros((len(texts), len(self.langs)))
+        for i, (automaton, table) in enumerate(zip(self.automata, self.tables)):
+            if table.entries <= TABLE:
+                found = table.phrases(points, starts, lengths)
+            else:
+                found = [automaton.phrases(points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass")) for s, n in zip(starts, lengths)]
+            out[:, i] = np.bincount(doc, found, len(texts))
+        return out, count
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """For each text the language, the score and the bits a letter that the winner needs.
+
+        The score is the winner's share of the languages' likelihoods for a stretch of
+        up to ``STRETCH`` letters, fewer for a text of few letters, at these bits a letter.
+        """
+        if not self.langs:
+            return [("und", 0.0, 0.0)] * len(texts)
+        phrases, count = self.phrases(texts)
+        bits = phrases * self.bits / np.maximum(count, 1)[:, None]
+        best, least = bits.argmin(axis=1), bits.min(axis=1)
+        stretch = STRETCH * count / (count + STRETCH)
+        score = 1 / np.exp2(np.maximum(-1000, (least[:, None] - bits) * stretch[:, None])).sum(axis=1)
+        return [(self.langs[b], float(s), float(x)) if n else ("und", 0.0, 0.0) for b, s, x, n in zip(best, score, least, count)]
 
 
 _PARSERS: dict[int, CrossParser] = {}
@@ -137,37 +221,41 @@ def held_out(column="doc_id", folds: int = 4):
 
 
 def learn(docs: DataFrame, *, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Samples labelled text of each language, at most ``sample_chars`` characters of it.
+    """Samples labelled texts of each language until there are ``sample_chars`` characters of it.
 
-    Documents come in the order of a hash of their id, so the sample is the same
-    on every run.  Only the documents under a hash bound computed from each
-    language's size reach the driver: about three times the sample at most.
+    Whole texts come in the order of a hash of their id, so the sample is the same on
+    every run.  Texts that are longer than the sample by themselves are left out; only
+    where a language has no other, the first of them is its sample, up to that length.
+    Only the texts under a hash bound computed from each language's size reach the
+    driver: about three times the sample at most.
     """
     use = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    piece = F.substring("text", 1, SAMPLE_DOC_CHARS)
-    use = use.select("lang", "doc_id", piece.alias("piece"), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)).alias("at"))
-    sizes = use.groupBy("lang").agg(F.sum(F.length("piece")).alias("chars")).collect()
-    bounds = {r["lang"]: min(1 << 30, int((1 << 30) * 2.0 * sample_chars / max(1, r["chars"])) + 1) for r in sizes}
-    if not bounds:
-        return {}
-    near = F.lit(False)
-    for lang, bound in bounds.items():
-        near = near | ((F.col("lang") == lang) & (F.col("at") < bound))
+    use = use.select("lang", "doc_id", "text", F.length("text").alias("n"), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)).alias("at"))
+    fits = F.col("n") <= sample_chars
+    sizes = use.groupBy("lang").agg(F.sum(F.when(fits, F.col("n"))).alias("chars")).collect()
+    bounds = {r["lang"]: min(1 << 30, int((1 << 30) * 2.0 * sample_chars / max(1, r["chars"])) + 1) for r in sizes if r["chars"] is not None}
     found: dict[str, list[str]] = {}
-    words = regex.compile(LETTERS)
-    for r in sorted(use.where(near).collect(), key=lambda r: (r["at"], r["doc_id"], r["piece"])):
-        text = " ".join(words.findall(r["piece"].lower()))
-        held = found.setdefault(r["lang"], [])
-        if text and sum(map(len, held)) < sample_chars:
-            held.append(text)
-    return {lang: " ".join(t)[:sample_chars] for lang, t in found.items() if t}
-
-
-def identify(docs: DataFrame, samples: dict[str, str], *, slice_rows: int = 256) -> DataFrame:
+    if bounds:
+        near = F.lit(False)
+        for lang, bound in bounds.items():
+            near = near | ((F.col("lang") == lang) & (F.col("at") < bound))
+        for r in sorted(use.where(fits & near).collect(), key=lambda r: (r["at"], r["doc_id"], r["text"])):
+            held = found.setdefault(r["lang"], [])
+            if sum(map(len, held)) < sample_chars:
+                held += _plain([r["text"]])
+    long = [r["lang"] for r in sizes if r["chars"] is None]
+    if long:
+        first = F.min_by(F.substring("text", 1, sample_chars), F.struct("at", "doc_id"))
+        found.update({r["lang"]: _plain([r["first"]]) for r in use.where(F.col("lang").isin(long)).groupBy("lang").agg(first.alias("first")).collect()})
+    # No phrase goes from one text to the next.
+    return {lang: "\n".join(texts) for lang, texts in found.items() if texts}
+
+
+def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """Predicts the language of every whole text.
 
-    Returns the columns of ``docs`` and lang_pred, score (the share that the
-    winner has of the languages' likelihoods) and bits_per_letter.
+    Returns the columns of ``docs`` and lang_pred, score and bits_per_letter, as
+    :meth:`CrossParser.predict` says.
     """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(samples)
@@ -177,11 +265,11 @@ def identify(docs: DataFrame, samples: dict[str, str], *, slice_rows: int = 256)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid", _PARSERS.clear)
         parser = _parser(model.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(start, slice_rows)
-                langs, scores, bits = zip(*[parser.predict(t) for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=[*names, "lang_pred", "score", "bits_per_letter"])
+        for rows in row_chunks(batches, BATCH_CHARS):
+            rows = rows.combine_chunks()
+            langs, scores, bits = zip(*parser.predict(rows.column(at).to_pylist())) if rows.num_rows else ((), (), ())
+            out = [*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
+            yield from pa.table(out, names=[*names, "lang_pred", "score", "bits_per_letter"]).to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_letter double")

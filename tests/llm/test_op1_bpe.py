@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import public_tokenizers
 import pytest
@@ -33,6 +34,32 @@ def test_hard_texts(pair, text):
     assert ids == theirs.encode(text, add_special_tokens=False).ids and mine.decode(ids) == text
 
 
+def test_every_code_point(pair):
+    """After a letter, a digit, a mark and a space, as the library reads it."""
+    mine, theirs = pair
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["\n".join(f"a{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for text, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+        assert mine.encode(text) == want.ids, hex(ord(text[1]))
+
+
+@pytest.mark.parametrize("setting", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "use_regex": False}}])
+def test_other_settings_are_refused(setting):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    with pytest.raises(ValueError):
+        op1_bpe.ForcedBoundaryBpe(json.dumps(spec | setting))
+
+
+def test_prefix_space():
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    mine, theirs = op1_bpe.ForcedBoundaryBpe(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    for text in ("word", " word", "\nword", "a<|endoftext|>b"):
+        assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_are_certain(pair):
     mine, _ = pair
     pieces = mine.fragments(b"ab\xff\x00qqzj")
