@@ -6,7 +6,8 @@ similarity t share at least l tokens among the first n - ceil(t * n) + l of each
 for any l up to their overlap.  Each document picks l by its estimated cost: the
 frequencies of its prefix tokens (entries to scan), plus the candidates left when
 l tokens must match, each of which costs a verification.  A pair must share as
-many prefix tokens as the smaller l of the two.  Once both sizes are known, the
+many prefix tokens as the smaller l of the two, so each needs a prefix for its own l
+only.  Once both sizes are known, the
 overlap o they need is too, and the first n - o + l tokens of each have to share l.
 
 Equal sets are one set from the start.  Tokens that several sets share are grouped
@@ -23,12 +24,12 @@ cost, never the result.
 Defined results: a text without words (or null) has the empty set, links with
 nothing and is its own class; with fewer words than a shingle, the whole sequence
 is the one shingle; rows with one id are documents of that id each; a row with a
-null id takes no part: it has n_shingles 0 and a null class; an empty table gives an empty result; other columns are ignored.
+null id is linked with nothing and has a null class; a very long text is one set; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import by_part, chunked, pack, runs, unpack
-from .shared import discard, documents, hashed_words, mixed, ship, written
+from .shared import chunk_bytes, discard, documents, hash_ranges, hashed_words, hot_keys, mixed, ship, spread_join, text_size, written
 
 #: Words of a shingle; similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
-#: Words of a chunk; text bytes for each hash range.
-CHUNK, PART_BYTES = 250_000, 16_000_000
+#: Words of a chunk, at least, and the bytes that a word is taken to have; text bytes for each hash range.
+CHUNK, WORD_BYTES, PART_BYTES = 250_000, 6, 16_000_000
+#: Sets with one token that are joined in one task.
+TOGETHER = 2000
 #: Tokens whose frequency is broadcast (12 bytes each), and the least count in a chunk that is reported.
 MOST_FREQUENT, LEAST_COUNT = 1 << 18, 2
 #: The largest l; the costs of verifying a candidate and of one more prefix entry, in scanned entries.
@@ -85,9 +88,9 @@ def set_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def _sets(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches, chunk: int = CHUNK) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Chunks of keys and sets."""
-    for keys, words in chunked(batches, CHUNK, lower=True):
+    for keys, words in chunked(batches, chunk, lower=True):
         yield keys, shingle_sets(words)
 
 
@@ -96,7 +99,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sets(batches):
-            ids = [set_id(s) if len(s) else None for s in sets]
+            ids = [set_id(s) if len(s) and k is not None else None for k, s in zip(keys, sets)]
             distinct = {i: s for i, s in zip(ids, sets) if i is not None}
             starts_counts = runs(every := np.sort(np.concatenate([_EMPTY, *distinct.values()])))
             often = starts_counts[1] >= LEAST_COUNT
@@ -111,7 +114,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The longest prefix of a set in order, and the chosen l."""
+    """The prefix of a set, in order, for the chosen l, and l."""
     n = len(tokens)
     least = -(-n * percent // 100)
     estimate = np.full(n, 1 + UNSEEN)
@@ -126,11 +129,15 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent
     scanned = np.cumsum(estimate[order] - 1)[behind : behind + longest]
     matches = np.arange(1, len(scanned) + 1)
     cost = scanned + VERIFY_COST * scanned / matches + ENTRY_COST * matches
-    return tokens[order], int(np.argmin(cost)) + 1
+    chosen = int(np.argmin(cost)) + 1
+    return tokens[order[: n - least + chosen]], chosen
 
 
-def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(token, sid, n, place, matches) of each prefix token that two distinct sets have."""
+def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """(token, sid, n, place, matches, splits) of each prefix token that two distinct sets have.
+
+    ``splits`` says into how many parts the token's sets are to be spread in joins.
+    """
     top = frequent.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -138,7 +145,7 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: in
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = held.value
-        for _, sets in _sets(batches):
+        for _, sets in _sets(batches, chunk):
             distinct = {set_id(s): s for s in sets if len(s)}
             if not distinct:
                 continue
@@ -168,12 +175,14 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: in
             _, lengths = runs(token)
             kept = np.repeat(lengths > 1, lengths)
             order, token, sid = order[kept], token[kept], sid[kept]
+            lengths = lengths[lengths > 1]
+            splits = np.repeat(-(-lengths // TOGETHER), lengths).astype(np.int32)
             for start in range(0, len(order), 100_000):
                 cut = slice(start, start + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(sid[cut]), pa.array(size[order[cut]].astype(np.int32)), pa.array(place[order[cut]].astype(np.int32)), pa.array(chosen[order[cut]].astype(np.int32))], names=["token", "sid", "n", "place", "matches"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(sid[cut]), pa.array(size[order[cut]].astype(np.int32)), pa.array(place[order[cut]].astype(np.int32)), pa.array(chosen[order[cut]].astype(np.int32)), pa.array(splits[cut])], names=["token", "sid", "n", "place", "matches", "splits"])
 
     rows = docs.mapInArrow(emit, "part int, entries binary").repartition(parts, "part")
-    return rows.mapInArrow(shared, "token long, sid long, n int, place int, matches int")
+    return rows.mapInArrow(shared, "token long, sid long, n int, place int, matches int, splits int")
 
 
 def bit_filter(ids: DataFrame, bits: int = FILTER_BITS, ranges: int = 64) -> bytes:
@@ -243,27 +252,30 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     spark = edges.sparkSession
     both, at = written(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("sid", "to"), f"{name}-edges")
+    hot = hot_keys(both, "to")
     labels, old = written(both.groupBy("sid").agg(F.least(F.min("to"), F.first("sid")).alias("label")), f"{name}-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("sid", "to"), "to").select("sid", "label")
-        least = near.union(labels).groupBy("sid").agg(F.min("label").alias("label"))
-        jump = labels.select(F.col("sid").alias("label"), F.col("label").alias("further"))
-        moved = least.join(jump, "label", "left").select("sid", F.least("label", F.coalesce("further", "label")).alias("label"))
+        near = spread_join(both, labels.withColumnRenamed("sid", "to"), "to", hot=hot).select("sid", "label")
+        least, least_at = written(near.union(labels).groupBy("sid").agg(F.min("label").alias("label")), f"{name}-least")
+        jump = labels.where("sid <> label").select(F.col("sid").alias("label"), F.col("label").alias("further"))
+        moved = spread_join(least, jump, "label", "left").select("sid", F.least("label", F.coalesce("further", "label")).alias("label"))
         new, path = written(moved, f"{name}-labels")
         changed = new.join(labels.withColumnRenamed("label", "was"), "sid").where("label <> was").limit(1).count()
-        discard(spark, old)
+        discard(spark, old, least_at)
         labels, old = new, path
         if not changed:
             discard(spark, at)
             return labels
 
 
-def _released() -> None:
-    """Lets Spark drop the shuffle files of plans that are over."""
-    from pyspark import SparkContext
+def _salted(entries: DataFrame) -> DataFrame:
+    """Spreads each token's sets over its parts."""
+    return entries.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("splits")).cast("int"))
+
 
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()
+def _copied(rows: DataFrame, splits: str = "splits") -> DataFrame:
+    """Rows that are to meet all of a token's sets go to each of its parts."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(splits) - 1)))
 
 
 def _overlap(percent: int, n: str, m: str):
@@ -279,27 +291,25 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     ship(spark)
-    # Rows without an id take part in nothing and come back as they are.
     doc_id = F.col("doc_id").cast("long")
-    read = docs.where(doc_id.isNotNull()).select(doc_id.alias("key"), "text")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(16, -(-total // PART_BYTES))
-    found, _ = written(survey(read), "jaccard-survey")
+    read = docs.select(doc_id.alias("key"), "text")
+    named = read.where("key IS NOT NULL")
+    total = text_size(docs)
+    found, found_at = written(survey(read), "jaccard-survey")
     members = found.where("token IS NULL").select("key", "sid", "n")
     frequent = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
-    first_key = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"))
-    entries, entries_at = written(prefix_entries(read, frequent, parts, percent), "jaccard-entries")
-    _released()
+    first_key, first_at = written(members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key")), "jaccard-first")
+    made = prefix_entries(named, frequent, hash_ranges(total, PART_BYTES), percent, chunk_bytes(total, CHUNK * WORD_BYTES) // WORD_BYTES)
+    entries, entries_at = written(made, "jaccard-entries")
     close = lambda n, m: (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
     def links(pairs: DataFrame) -> tuple[DataFrame, str]:
         """The similar ones among candidate pairs (a, b)."""
         pairs, pairs_at = written(pairs, "jaccard-pairs")
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        sets, sets_at = written(stored_sets(read, ends.join(first_key, "sid").select("key")), "jaccard-sets")
+        sets, sets_at = written(stored_sets(named, ends.join(first_key, "sid").select("key")), "jaccard-sets")
         made, at = written(verified(pairs, sets, percent), "jaccard-links")
         discard(spark, pairs_at, sets_at)
-        _released()
         return made, at
 
     # Each token's sets against the one that shares most of its prefix with others.  In a group of copies it is the
@@ -307,35 +317,35 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # may be missed here; what is not among them has to fit behind one of the two prefixes.
     central = entries.groupBy("sid").agg((-F.count(F.lit(1))).alias("rank"))
     ranked = F.struct("rank", F.xxhash64("sid").alias("tie"), *[F.col(c).alias(f"p_{c}") for c in ("sid", "n", "place", "matches")])
-    pivot = entries.join(central, "sid").groupBy("token").agg(F.min(ranked).alias("p")).select("token", *[f"p.p_{c}" for c in ("sid", "n", "place", "matches")])
+    pivot = entries.join(central, "sid").groupBy("token").agg(F.min(ranked).alias("p"), F.first("splits").alias("p_splits"))
+    pivot = _copied(pivot.select("token", "p_splits", *[f"p.p_{c}" for c in ("sid", "n", "place", "matches")]), "p_splits")
     both = F.least("matches", "p_matches")
     inside = lambda place, n: F.col(place) < F.col(n) - _least(percent, n) + both
-    near = entries.join(pivot, "token").where((F.col("sid") != F.col("p_sid")) & close("n", "p_n") & inside("place", "n") & inside("p_place", "p_n"))
+    near = _salted(entries).join(pivot, ["token", "part"]).where((F.col("sid") != F.col("p_sid")) & close("n", "p_n") & inside("place", "n") & inside("p_place", "p_n"))
     needed = F.greatest(both, _overlap(percent, "n", "p_n") - F.greatest(_least(percent, "n"), _least(percent, "p_n")) + both)
     near = near.groupBy(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(needed).alias("needed"))
     edges, edges_at = links(near.where("shared >= needed").select("a", "b"))
     labels = components(edges, "jaccard")
     # All pairs that are still apart.  Knowing both sizes, the prefixes that have to share so many tokens are shorter.
     own = entries.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    split = own.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
-    open_, open_at = written(own.join(split, "token"), "jaccard-open")
-    a, b = (open_.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "place", "matches", "label")]) for x in "ab")
+    split = own.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.first("splits").alias("s")).where("least <> most")
+    open_, open_at = written(_salted(own).join(_copied(split, "s").select("token", "part"), ["token", "part"]), "jaccard-open")
+    side = lambda df, x: df.select("token", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "place", "matches", "label")])
+    a, b = side(open_, "a"), side(_copied(open_), "b")
     both = F.least("a_matches", "b_matches")
     inside = lambda x: F.col(f"{x}_place") < F.col(f"{x}_n") - _overlap(percent, "a_n", "b_n") + both
-    pairs = a.join(b, "token").where((F.col("a_sid") < F.col("b_sid")) & (F.col("a_label") != F.col("b_label")) & close("a_n", "b_n") & inside("a") & inside("b"))
+    pairs = a.join(b, ["token", "part"]).where((F.col("a_sid") < F.col("b_sid")) & (F.col("a_label") != F.col("b_label")) & close("a_n", "b_n") & inside("a") & inside("b"))
     pairs = pairs.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(both).alias("needed"))
     more, more_at = links(pairs.where("shared >= needed").select("a", "b"))
     labels = components(edges.union(more), "jaccard")
-    discard(spark, entries_at, open_at, edges_at, more_at)
-    _released()
-    firsts = first_key.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    firsts, firsts_at = written(first_key.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "jaccard-labels")
+    discard(spark, entries_at, open_at, edges_at, more_at, first_at)
     least = firsts.groupBy("label").agg(F.min("key").alias("component_id"))
-    of_set, _ = written(firsts.join(least, "label").select("sid", "component_id"), "jaccard-classes")
-    linked = members.where("sid IS NOT NULL").join(of_set, "sid").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    alone = members.where("sid IS NULL").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
-    null = F.lit(None).cast("long")
-    unnamed = docs.where(doc_id.isNull()).select(null.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), null.alias("component_id"))
-    return linked.unionByName(alone).unionByName(unnamed)
+    of_set, _ = written(spread_join(firsts, least, "label").select("sid", "component_id"), "jaccard-classes")
+    linked, _ = written(spread_join(members.where("sid IS NOT NULL"), of_set, "sid").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id"), "jaccard-linked")
+    alone, _ = written(members.where("sid IS NULL").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("component_id")), "jaccard-alone")
+    discard(spark, found_at, firsts_at)
+    return linked.unionByName(alone)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 200_000
 #: Hash ranges at most: at 100 TB a range then answers for 1.5 GB of text.
 MOST_RANGES = 1 << 16
+#: Rows beyond which a join key is hot, at least, and the most keys that can be.
+HOT_ROWS, MOST_HOT = 1000, 10_000
 #: Spark's setting that a query's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch at most.
@@ -103,6 +105,26 @@ def chunk_bytes(size: int, least: int) -> int:
     return min(8 * least, max(least, size // 10_000))
 
 
+def hot_keys(df: DataFrame, key: str) -> dict[int, int]:
+    """The keys with very many rows and into how many parts to spread each; ``MOST_HOT`` keys at most, as each has more than rows / ``MOST_HOT``."""
+    bound = max(HOT_ROWS, df.count() // MOST_HOT)
+    many = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
+    return {r[key]: -(-r["n"] // bound) for r in many.collect()}
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: dict[int, int] | None = None) -> DataFrame:
+    """Joins on a column (long) that the right side holds once for each value; a hot key's rows on the left go to many tasks."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    parts = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), "hot_key long, hot_parts int"))
+    spread = lambda df: df.join(parts, df[key] == F.col("hot_key"), "left").drop("hot_key")
+    own = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.coalesce("hot_parts", F.lit(1))).cast("int")
+    salted = spread(left).withColumn("hot_part", own).drop("hot_parts")
+    copies = spread(right).withColumn("hot_part", F.explode(F.sequence(F.lit(0), F.coalesce("hot_parts", F.lit(1)) - 1))).drop("hot_parts")
+    return salted.join(copies, [key, "hot_part"], how).drop("hot_part")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

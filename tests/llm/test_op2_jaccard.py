@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from brute import classes
 
-from tessera.llm import op2_jaccard
+from tessera.llm import op2_jaccard, shared
 
 
 def corpus(seed, n=160):
@@ -43,10 +44,40 @@ def test_threshold_is_inclusive(spark):
 def test_odd_rows(spark):
     rows = [(1, "a b c", "k"), (1, "a b c", "k"), (None, "a b c", None), (4, None, None), (7, "", "z"), (8, "A b  c\n", "z")]
     got = op2_jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string, sid string"))
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 1), (1, 1, 1), (None, 0, None), (4, 0, 4), (7, 0, 7), (8, 1, 1)], key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 1), (1, 1, 1), (None, 1, None), (4, 0, 4), (7, 0, 7), (8, 1, 1)], key=str)
     assert op2_jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hot_tokens_labels_and_copies(spark, monkeypatch):
+    """Many sets with one token, many near copies and many exact ones, spread over many tasks."""
+    monkeypatch.setattr(op2_jaccard, "TOGETHER", 5)
+    monkeypatch.setattr(shared, "HOT_ROWS", 6)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(60)] = f"v{i}"
+        docs.append(" ".join(w))
+    docs += ["exact copy of these six words"] * 40
+    docs += ["a b c d e " + " ".join(f"u{i}x{j}" for j in range(r.randint(3, 12))) for i in range(40)]
+    docs += ["long " + " ".join(f"x{i}" for i in range(30_000))] * 2
+    docs = list(enumerate(docs))
+    r.shuffle(docs)
+    got = op2_jaccard.classes(spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, part int, label int"))
+    assert sorted(map(tuple, got.collect())) == sorted(classes(docs))
+    monkeypatch.setattr(op2_jaccard, "CHUNK", 40)
+    got = op2_jaccard.classes(spark.createDataFrame(docs[:150], "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(classes(docs[:150]))
+
+
+def test_prefix_is_as_long_as_its_l():
+    tokens = np.sort(np.random.default_rng(0).integers(0, 2**63, 40).astype(np.uint64))
+    for counts in (np.full(40, 2), np.full(40, 5000), np.arange(1, 41) ** 2):
+        found, chosen = op2_jaccard.prefix(tokens, tokens, counts.astype(np.int64), 75)
+        assert len(found) == 40 - 30 + chosen
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (-5, 100)]
     labels = {r["sid"]: r["label"] for r in op2_jaccard.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
