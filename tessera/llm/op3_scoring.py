@@ -77,9 +77,15 @@ def triples_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(pairs_of(pairs_of(earlier, before), token) ^ np.uint64(0xA24BAED4963EE407))
 
 
-def grams_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """All pairs, then all triples."""
-    return np.concatenate([pairs_of(before, token), triples_of(before, token)])
+def gram_bits(tokens: int) -> int:
+    """The bits of an n-gram's hash: so many that two n-grams of the text share one far more rarely than the filter errs."""
+    return min(64, max(40, tokens.bit_length() + 12))
+
+
+def grams_of(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+    """All pairs, then all triples, as the first bits of their hashes."""
+    rest = np.uint64(64 - bits)
+    return np.concatenate([pairs_of(before, token), triples_of(before, token)]) >> rest << rest
 
 
 def counted(values: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +180,14 @@ def segment(hashes: np.ndarray, level: np.ndarray) -> LogBloom:
     return LogBloom(np.packbits(on, bitorder="little"), 1)
 
 
-def answered(rows: DataFrame, parts: int, chunk_words: int = CHUNK) -> DataFrame:
+def answered(rows: DataFrame, parts: int, bits: int, chunk_words: int = CHUNK) -> DataFrame:
     """What the hash ranges find for each chunk, and the chunks; ``rows`` are (row, text).
 
     A row with neither chunk nor data has the sums of a range.  A row with part -1 is
     a chunk: its documents, its distinct words and the word of each token.  Any other is
     a range's answer: exact counts of the chunk's words, levels of its pairs and triples.
     """
-    shift = np.uint64(64 - (parts.bit_length() - 1))
+    shift, rest = np.uint64(64 - (parts.bit_length() - 1)), np.uint64(64 - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, words in chunked(batches, chunk_words, lower=True):
@@ -191,7 +197,7 @@ def answered(rows: DataFrame, parts: int, chunk_words: int = CHUNK) -> DataFrame
             ids = [k["doc_id"] for k in keys]
             flags = np.array([(i is None) + 2 * k["held_out"] for i, k in zip(ids, keys)], np.uint8)
             learnt = (flags == 0).astype(np.uint8)[doc]
-            (w, wn), (p, pn) = counted(token, learnt), counted(grams_of(before, token), np.concatenate([learnt, learnt]))
+            (w, wn), (p, pn) = counted(token, learnt), counted(grams_of(before, token, bits), np.concatenate([learnt, learnt]))
             edges = np.arange(parts + 1)
             we, pe = (np.searchsorted((x >> shift).astype(np.int64), edges) for x in (w, p))
             chunk, at, data = keys[0]["key"], [], []
@@ -199,7 +205,7 @@ def answered(rows: DataFrame, parts: int, chunk_words: int = CHUNK) -> DataFrame
                 ws, ps = slice(we[part], we[part + 1]), slice(pe[part], pe[part + 1])
                 if ws.stop > ws.start or ps.stop > ps.start:
                     at.append(part)
-                    data.append(pack(rising(w[ws]), planes(wn[ws]), rising(p[ps]), planes(pn[ps])))
+                    data.append(pack(rising(w[ws]), planes(wn[ws]), rising(p[ps] >> rest), planes(pn[ps])))
             whole = pack(np.array([i or 0 for i in ids], np.int64), flags, n, rising(w), planes(np.searchsorted(w, token).astype(np.uint32)))
             to = int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(parts))
             kinds = [False] * len(at) + [True]
@@ -214,7 +220,7 @@ def answered(rows: DataFrame, parts: int, chunk_words: int = CHUNK) -> DataFrame
 
     def answers(chunks: list[int], part: int, items: list[bytes]) -> Iterator[pa.RecordBatch]:
         asked = [unpack(i) for i in items]
-        w, p = ([unrisen(a[i]) for a in asked] for i in (0, 2))
+        w, p = [unrisen(a[0]) for a in asked], [unrisen(a[2]) << rest for a in asked]
         (words, wn), (grams, pn) = add(w, [unplaned(a[1], np.uint32) for a in asked]), add(p, [unplaned(a[3], np.uint32) for a in asked])
         del asked
         level = level_of(pn)
@@ -258,7 +264,8 @@ def score(docs: DataFrame) -> DataFrame:
     first = read.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(~F.col("held_out") & F.col("doc_id").isNotNull()).alias("starts")).first()
     size, starts = first["size"] or 0, float(first["starts"])
     row = F.struct(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out").alias("row")
-    made = answered(read.select(row, "text"), hash_ranges(size, PART_BYTES), chunk_bytes(size, CHUNK * WORD_BYTES) // WORD_BYTES)
+    bits = gram_bits(size // WORD_BYTES)
+    made = answered(read.select(row, "text"), hash_ranges(size, PART_BYTES), bits, chunk_bytes(size, CHUNK * WORD_BYTES) // WORD_BYTES)
     found, _ = written(made, "lm-answers")
     sums = found.where("chunk IS NULL").agg(F.sum("total").alias("N"), F.sum("distinct").alias("V")).first()
     total, norm = sums["N"] or 0, float((sums["N"] or 0) + (sums["V"] or 0) + 1)
@@ -275,7 +282,7 @@ def score(docs: DataFrame) -> DataFrame:
         after = lambda x: np.where(begin, starts, np.concatenate([x[:1], x[:-1]]))
         token = own[where]
         before = np.where(begin, START, np.concatenate([[START], token[:-1]]).astype(np.uint64))
-        _, spots = np.unique(grams_of(before, token), return_inverse=True)
+        _, spots = np.unique(grams_of(before, token, bits), return_inverse=True)
         pair, triple = level[spots[: len(token)]], level[spots[len(token) :]]
         word = ((exact + 1) / norm)[where]
         p = smoothed(word, after(exact[where]), count_at(pair), after(most_at(pair)), count_at(triple))
