@@ -6,12 +6,14 @@ written independently.  Sums and averages of doubles are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import QueryError
 from .facade import Facade
 from .functions import crypto
 from .model import Field, Model
@@ -266,6 +268,25 @@ query("semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM
 query("anti_missing", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)")(lambda s: _semi(s, "left_anti"))
 
 
+def ordered(df: DataFrame) -> DataFrame:
+    """The rows of one short page with their numbers in the order they come, so that a comparison of sets checks the order."""
+    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(df.collect(), 1)], T.StructType([T.StructField("n", T.LongType()), *df.schema.fields]))
+
+
+_TOP = {"$sort": "-o_totalprice", "$limit": 50}
+query("sort_order", "SELECT row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS n, o_orderkey FROM orders QUALIFY n <= 60")(lambda s: ordered(s.table("orders").find_many({"controls": {"$sort": {"o_orderstatus": 1, "o_totalprice": -1}, "$limit": 60, "$select": ["o_orderkey"]}})))
+query("with_sorted", "SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n, o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey QUALIFY n <= 50")(
+    lambda s: ordered(s.table("orders").find_many({"controls": {**_TOP, "$with": ["customer", "lines"]}}).select("o_orderkey", F.col("customer.c_name").alias("c_name")))
+)
+find("filter_int_text", "orders", {"filter": {"o_orderkey": "4711"}, "controls": {"$select": ["o_orderkey"]}}, "SELECT o_orderkey FROM orders WHERE o_orderkey = 4711")
+
+
+@query("with_hidden", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, c_custkey AS customer_c_custkey, c_nationkey AS customer_c_nationkey, c_acctbal AS customer_c_acctbal, c_mktsegment AS customer_c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 500")
+def _with_hidden(s: Space) -> DataFrame:
+    s.add(CUSTOMER.with_fields(c_name=Field("c_name", write_only=True)))
+    return s.table("orders").find_many({"filter": {"o_orderkey": {"$lt": 500}}, "controls": {"$with": ["customer"]}})
+
+
 def _semi(s: Space, how: str) -> DataFrame:
     orders = s.table("orders").filtered({"filter": {"o_orderstatus": "F", "o_totalprice": {"$gt": 300000}}})
     customers = s.table("customer").frame()
@@ -278,7 +299,10 @@ query("search_all", _T + "SELECT doc_id, CAST(len(list_filter(w, lambda x: x IN
 query("search_any", _T + "SELECT doc_id FROM t WHERE list_contains(w || v, 'src3') OR list_contains(w || v, 'tion')")(lambda s: s.table("documents").search("src3, tion!", mode="any").select("doc_id"))
 query("search_ranked", _T + "SELECT doc_id, CAST(len(list_filter(w, lambda x: x = 'of')) + 5 * len(list_filter(v, lambda x: x = 'of')) AS DOUBLE) AS score FROM t WHERE list_contains(w || v, 'of') ORDER BY score DESC, doc_id LIMIT 30")(lambda s: s.table("documents").search("of", {"controls": {"$limit": 30}}).select("doc_id", F.col("_score").alias("score")))
 query("search_prefix", _T + "SELECT doc_id FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'tionth'))) > 0")(lambda s: s.table("documents").search("tionth", index="text_prefix").select("doc_id"))
-query("search_fuzzy", _T + "SELECT doc_id FROM t WHERE len(list_filter(w, lambda x: levenshtein(x, 'which') <= 1 OR starts_with(x, 'which'))) > 0")(lambda s: s.table("documents").search("which", index="text_both").select("doc_id"))
+query("search_order", _T + "SELECT row_number() OVER (ORDER BY len(list_filter(w, lambda x: x = 'of')) + 5 * len(list_filter(v, lambda x: x = 'of')) DESC, doc_id) AS n, doc_id FROM t WHERE list_contains(w || v, 'of') QUALIFY n <= 40")(lambda s: ordered(s.table("documents").search("of", {"controls": {"$limit": 40, "$select": ["doc_id"]}}).select("doc_id")))
+query("search_fuzzy", _T + "SELECT doc_id, CAST(len(list_filter(w, lambda x: levenshtein(x, 'off') <= 1)) AS DOUBLE) AS _score FROM t WHERE len(list_filter(w, lambda x: levenshtein(x, 'off') <= 1 OR starts_with(x, 'off'))) > 0")(lambda s: s.table("documents").search("off", index="text_both").select("doc_id", "_score"))
+query("search_pages_count", _T + "SELECT count(*) AS count FROM t WHERE list_contains(w || v, 'of')")(lambda s: s.spark.createDataFrame([(Facade(s, "documents").pages("$search=of")["count"],)], "count long"))
+query("search_group", _T + "SELECT lang, count(*) AS n FROM t JOIN documents USING (doc_id) WHERE list_contains(w || v, 'of') GROUP BY lang")(lambda s: Facade(s, "documents").query("$search=of&$groupBy=lang&$select=lang,count(*):n"))
 query("search_blank", "SELECT doc_id FROM documents WHERE false")(lambda s: s.table("documents").search(" ?! ").select("doc_id"))
 query("search_filtered", _T + "SELECT doc_id FROM t JOIN documents USING (doc_id) WHERE lang = 'en' AND list_contains(w || v, 'of')")(lambda s: s.table("documents").search("of", {"filter": {"lang": "en"}}).select("doc_id"))
 query("search_count", _T + "SELECT count(*) AS count FROM t WHERE list_contains(w || v, 'of')")(lambda s: s.table("documents").search_count("of"))
@@ -349,6 +373,42 @@ query("update_many", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHE
 query("replace_many", "SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'gone' ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey = 3 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")(lambda s: s.table("supplier").replace_many({"s_nationkey": 3}, {"s_name": "gone", "s_acctbal": 0.0}))
 query("update_inc_mul", "SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN p_type = 'PROMO' THEN p_size + 3 ELSE p_size END AS p_size, round(CASE WHEN p_type = 'PROMO' THEN p_retailprice * 2 ELSE p_retailprice END, 2) AS p_retailprice FROM part")(lambda s: rounded(s.table("part").update_many({"p_type": "PROMO"}, {"p_size": {"$inc": 3}, "p_retailprice": {"$mul": 2}}), "p_retailprice"))
 query("delete_many", "SELECT * FROM customer WHERE NOT c_acctbal < 0")(lambda s: s.table("customer").delete_many({"c_acctbal": {"$lt": 0}}))
+query("agg_nocase", "SELECT c_nationkey, count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_nationkey")(lambda s: s.table("customer").aggregate({"filter": {"c_mktsegment": "building"}, "controls": {"$groupBy": ["c_nationkey"], "$select": ["c_nationkey", {"$fn": "count", "$field": "*", "$as": "n"}]}}))
+query("delete_nocase", "SELECT * FROM customer WHERE lower(c_mktsegment) <> 'building'")(lambda s: s.table("customer").delete_many({"c_mktsegment": "building"}))
+query("update_nocase", "SELECT c_custkey, c_name, c_nationkey, CASE WHEN lower(c_mktsegment) = 'building' THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")(lambda s: s.table("customer").update_many({"c_mktsegment": "building"}, {"c_acctbal": 0.0}))
+query("update_null", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey >= 100 THEN o_custkey END AS VARCHAR) AS o_custkey, o_orderstatus FROM orders")(
+    lambda s: as_text(s.table("orders").update(s.spark.range(100).select(F.col("id").alias("o_orderkey"), F.lit(None).cast("long").alias("o_custkey"), F.lit(None).cast("string").alias("o_orderstatus")), nulls=("o_custkey",)).select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey")
+)
+
+
+def refused(write: Callable[[Space], DataFrame]) -> Query:
+    """The code with which a write is refused, as a one-row table."""
+    def run(s: Space) -> DataFrame:
+        try:
+            write(s)
+            code = "none"
+        except QueryError as e:
+            code = e.code
+        return s.spark.createDataFrame([(code,)], "code string")
+
+    return run
+
+
+query("replace_fk_bad", "SELECT 'FK_VIOLATION' AS code")(refused(lambda s: s.table("nation").replace([{"n_nationkey": 3, "n_name": "x", "n_regionkey": 99}])))
+query("update_fk_bad", "SELECT 'FK_VIOLATION' AS code")(refused(lambda s: s.table("nation").update_many({"n_nationkey": 3}, {"n_regionkey": 99})))
+query("update_unique_bad", "SELECT 'CONFLICT' AS code")(refused(lambda s: s.table("nation").update_many({"n_nationkey": {"$lt": 2}}, {"n_name": "same"})))
+
+
+@query("commit_twice", "SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN 'renamed' || n_nationkey ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
+def _commit_twice(s: Space) -> DataFrame:
+    """A cascade over three tables stored as one step, then one table over itself."""
+    root = f"{s.spark.conf.get('spark.checkpoint.dir', None) or s.spark.conf.get('spark.sql.warehouse.dir')}/commits/{uuid.uuid4().hex}"
+    s.commit(s.table("region").delete({"r_regionkey": 1}), root)
+    nation = s.table("nation").frame()
+    s.commit({"nation": nation.withColumn("n_name", F.when(F.col("n_nationkey") < 10, F.concat(F.lit("renamed"), F.col("n_nationkey").cast("string"))).otherwise(F.col("n_name")))}, root)
+    return s.table("nation").find_many({})
+
+
 query("version_bump", "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN 'hit' ELSE 'old' END AS note, o_orderkey % 3 + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS version FROM orders")(lambda s: s.table("versioned").update_many({"o_orderstatus": "P"}, {"note": "hit"}))
 query("cas_update", "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey = 5 THEN 'hit' ELSE 'old' END AS note, o_orderkey % 3 + CASE WHEN o_orderkey = 5 THEN 1 ELSE 0 END AS version FROM orders")(lambda s: s.table("versioned").update({"o_orderkey": 5, "note": "hit", "$cas": 2}))
 query("cas_stale", "SELECT o_orderkey, o_orderstatus, o_totalprice, 'old' AS note, o_orderkey % 3 AS version FROM orders")(lambda s: s.table("versioned").update({"o_orderkey": 5, "note": "hit", "$cas": 1}))
@@ -452,7 +512,12 @@ query("url_with", """SELECT c_custkey, array_to_string(coalesce(list(o_orderkey
 query("url_search", _T + "SELECT doc_id FROM t WHERE list_contains(w || v, 'of') AND list_contains(w || v, 'the')")(lambda s: Facade(s, "documents").query("$search=of the&$limit=none").select("doc_id"))
 query("url_one", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 17")(lambda s: Facade(s, "orders").one("17", "$select=o_orderkey,o_totalprice"))
 query("overlay", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")(lambda s: Facade(s, "orders", overlay={"o_orderstatus": "F"}).query("o_totalprice>200000&$limit=none&$select=o_orderkey"))
-query("meta_fields", None)(lambda s: s.spark.createDataFrame([(m.name, f["name"], f["type"], f["filterable"]) for m in MODELS for f in s.table(m.name).meta()["fields"]], "tbl string, name string, type string, filterable boolean"))
+query("meta_fields", """
+SELECT table_name AS tbl, column_name AS name, CASE WHEN column_name = 'embedding' THEN 'vector' ELSE
+  CASE data_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp' END END AS type, true AS filterable
+FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+""")(lambda s: s.spark.createDataFrame([(m.name, f["name"], f["type"], f["filterable"]) for m in MODELS for f in s.table(m.name).meta()["fields"]], "tbl string, name string, type string, filterable boolean"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .errors import QueryError
 from .operators.actions import Action, augment
+from .plans.guards import guard
 from .plans.urlquery import parse_url
 from .sources.space import Space
 
@@ -22,7 +24,8 @@ DEFAULT_LIMIT = 1000
 
 class Facade:
     def __init__(self, space: Space, name: str, *, overlay: dict | None = None, embed: Callable[[str], list[float]] | None = None, actions: list[Action] | None = None):
-        self.space, self.name, self.overlay, self.embed, self.actions = space, name, overlay, embed, actions or []
+        self.space, self.name, self.embed, self.actions = space, name, embed, actions or []
+        self.overlay = overlay or space.overlays.get(name)
 
     @property
     def table(self):
@@ -43,25 +46,53 @@ class Facade:
         query = self._parsed(url)
         controls = query["controls"]
         if controls.get("$groupBy") or any(isinstance(s, dict) for s in controls.get("$select") or []):
-            return self.table.aggregate(query)
+            text = controls.pop("$search", None)
+            return self.table.aggregate(query, self.table.found(text, query) if text else None)
         if controls.get("$count"):
-            return self.table.count(query)
+            return self._count(query)
         actions = controls.pop("$actions", False)
         controls.setdefault("$limit", DEFAULT_LIMIT)
-        if "$vector" in controls or controls.get("$search") and self.embed and not self.table.meta()["searchable"]:
-            if self.embed is None:
-                raise QueryError("INVALID_QUERY", "no embedding is configured", "$vector")
+        found = self._rows(query)
+        return augment(found, self.actions) if actions else found
+
+    def _by_vector(self, controls: dict) -> bool:
+        if "$vector" not in controls and not (controls.get("$search") and self.embed and not self.table.meta()["searchable"]):
+            return False
+        if self.embed is None:
+            raise QueryError("INVALID_QUERY", "no embedding is configured", "$vector")
+        return True
+
+    def _rows(self, query: dict) -> DataFrame:
+        """The rows of a request, by vector, text or filter alone."""
+        controls = dict(query["controls"])
+        query = {**query, "controls": controls}
+        if self._by_vector(controls):
             index = controls.pop("$vector", None) or None
-            found = self.table.vector_search(self.embed(controls.pop("$search", "")), query, index)
-        elif controls.get("$search"):
+            return self.table.vector_search(self.embed(controls.pop("$search", "")), query, index)
+        if controls.get("$search"):
             text = controls.pop("$search")
-            found = self.table.search(text, query) if self.table.meta()["searchable"] else self.table.search_plain(text, query)
-        else:
-            found = self.table.find_many(query)
-        return augment(found, self.actions) if actions else found
+            return self.table.search(text, query) if self.table.meta()["searchable"] else self.table.search_plain(text, query)
+        return self.table.find_many(query)
+
+    def _count(self, query: dict) -> DataFrame:
+        """How many rows a request has, whatever its page."""
+        controls = dict(query["controls"])
+        query = {"filter": query["filter"], "controls": controls}
+        if self._by_vector(controls):
+            index = controls.pop("$vector", None) or None
+            return self.table.vector_count(self.embed(controls.pop("$search", "")), query, index)
+        text = controls.pop("$search", None)
+        return self.table.found(text, query).agg(F.count(F.lit(1)).alias("count")) if text else self.table.count(query)
 
     def pages(self, url: str | dict) -> dict[str, Any]:
-        return self.table.pages(self._parsed(url))
+        """One page of a request, with its number, size, the number of pages and of rows."""
+        query = self._parsed(url)
+        controls = query["controls"]
+        number, size = controls.pop("$page", 1), controls.pop("$size", 10)
+        guard({"controls": {"$page": number, "$size": size}}, self.table.model)
+        total = self._count(query).first()["count"]
+        controls |= {"$skip": (number - 1) * size, "$limit": size}
+        return {"data": self._rows(query), "page": number, "itemsPerPage": size, "pages": -(-total // size), "count": total}
 
     def geo(self, url: str | dict) -> DataFrame:
         query = self._parsed(url)
@@ -101,7 +132,7 @@ class Facade:
         if table.frame().limit(1).count() and not table.filtered({"filter": filter}).limit(1).count():
             raise QueryError("CONFLICT" if table.filtered({"filter": keys}).limit(1).count() else "NOT_FOUND", "the version has moved on, or the row is gone", self.name)
         if method == "PUT":
-            return table.replace([payload])
+            return table.replace([payload | ({version: expected} if expected is not None else {})], cas=version if expected is not None else None)
         if method == "PATCH":
             return table.update(payload | ({"$cas": expected} if expected is not None else {}))
         raise QueryError("INVALID_QUERY", "unknown method", method)

@@ -27,8 +27,9 @@ def matches(own: Column, token: str, strategy: str = "text", fuzzy: int = 0) ->
     return prefix if strategy == "autocomplete" else whole | prefix
 
 
-def frequency(own: Column, token: str) -> Column:
-    return F.size(F.filter(own, lambda t: t == token))
+def frequency(own: Column, token: str, fuzzy: int = 0) -> Column:
+    """How many of a row's tokens are the token, or within ``fuzzy`` edits of it."""
+    return F.size(F.filter(own, lambda t: (F.levenshtein(t, F.lit(token), fuzzy) >= 0) if fuzzy else t == token))
 
 
 def any_contains(columns: list[Column], text: str) -> Column:

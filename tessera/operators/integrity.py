@@ -61,7 +61,7 @@ def delete(space: "Space", name: str, filter, *, frames: dict[str, DataFrame] |
     start = space.table(name)
     from ..plans.filters import apply_filter
 
-    doomed = apply_filter(frame(name), filter, start.null_model)
+    doomed = apply_filter(frame(name), filter, start.null_model, start.collations())
     queue: list[tuple[str, DataFrame, int]] = [(name, doomed, 0)]
     while queue:
         table, gone, depth = queue.pop(0)

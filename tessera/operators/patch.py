@@ -73,9 +73,25 @@ def _same_keys(keys: tuple[str, ...], a: Column, b: Column) -> Column:
     return out
 
 
-def _merged(old: Column, new: Column, kind: T.StructType, given: list[set[str]], items: Column) -> Column:
-    """``old`` with the fields that ``new`` gives; what it leaves out is null in JSON form and kept."""
-    return F.struct(*[F.coalesce(new[f.name], old[f.name]).alias(f.name) for f in kind.fields])
+def _merged(old: Column, new: Column, kind: T.StructType) -> Column:
+    """``old`` with the fields that an operand item gives, nulls too; what it leaves out is kept."""
+    return F.struct(*[F.when(F.array_contains(new["given"], f.name), new["item"][f.name]).otherwise(old[f.name]).alias(f.name) for f in kind.fields])
+
+
+def _operand(items: list[dict], kind: T.ArrayType) -> Column:
+    """Operand items with the names of the fields that each one gives."""
+    given = F.array(*[F.array(*[F.lit(str(k)) for k in x]) for x in items])
+    return F.zip_with(value_literal(items, kind), given, lambda item, names: F.struct(item.alias("item"), names.alias("given")))
+
+
+def _last_by_key(items: list[dict], keys: tuple[str, ...]) -> list[dict]:
+    """One item for each key, the last, where the first was."""
+    return list({tuple(repr(x[k]) for k in keys): x for x in items}.values())
+
+
+def _added(own: Column, new: Column) -> Column:
+    """``own`` as it is, and what it lacks of ``new``, each value once."""
+    return F.concat(own, F.filter(F.array_distinct(new), lambda u: ~F.exists(own, lambda x: x.eqNullSafe(u))))
 
 
 def array_patch(own: Column, ops: dict, f: Field, kind: T.ArrayType) -> Column:
@@ -102,28 +118,28 @@ def array_patch(own: Column, ops: dict, f: Field, kind: T.ArrayType) -> Column:
             out = F.filter(out, lambda x: ~F.exists(gone, lambda g: x.eqNullSafe(g)))
 
     def one(items: Column, x: Column) -> Column:
-        return F.try_element_at(F.filter(items, lambda u: _same_keys(keys, x, u)), F.lit(-1))
+        return F.try_element_at(F.filter(items, lambda u: _same_keys(keys, x, u["item"])), F.lit(-1))
 
     if ops.get("$update") and keys:
-        new = value_literal(ops["$update"], kind)
-        out = F.transform(out, lambda x: F.when(one(new, x).isNotNull(), _merged(x, one(new, x), element, [], new)).otherwise(x))
+        given = _operand(ops["$update"], kind)
+        out = F.transform(out, lambda x: F.when(one(given, x).isNotNull(), _merged(x, one(given, x), element)).otherwise(x))
     if ops.get("$upsert"):
-        new = value_literal(ops["$upsert"], kind)
         if keys:
-            kept = out
-            changed = lambda x: _merged(x, one(new, x), element, [], new) if f.merge else one(new, x)
-            out = F.concat(F.transform(kept, lambda x: F.when(one(new, x).isNotNull(), changed(x)).otherwise(x)), F.filter(new, lambda u: ~F.exists(kept, lambda x: _same_keys(keys, x, u))))
+            items = _last_by_key(ops["$upsert"], keys)
+            kept, new, operand = out, value_literal(items, kind), _operand(items, kind)
+            changed = lambda x: _merged(x, one(operand, x), element) if f.merge else one(operand, x)["item"]
+            out = F.concat(F.transform(kept, lambda x: F.when(one(operand, x).isNotNull(), changed(x)).otherwise(x)), F.filter(new, lambda u: ~F.exists(kept, lambda x: _same_keys(keys, x, u))))
         else:
-            out = F.array_union(out, new)
+            out = _added(out, value_literal(ops["$upsert"], kind))
     if ops.get("$insert"):
         new = value_literal(ops["$insert"], kind)
         if not f.unique_items:
             out = F.concat(out, new)
         elif keys:
-            kept = out
+            kept, new = out, value_literal(_last_by_key(ops["$insert"][::-1], keys)[::-1], kind)
             out = F.concat(kept, F.filter(new, lambda u: ~F.exists(kept, lambda x: _same_keys(keys, x, u))))
         else:
-            out = F.array_union(out, new)
+            out = _added(out, new)
     return out
 
 

@@ -44,13 +44,16 @@ def _target(space: "Space", relation: Relation, spec: Any, keys: tuple[str, ...]
     """Filtered target rows with their own relations, and the columns that the caller selected."""
     filters, controls = spec_parts(spec, relation)
     table = space.table(relation.target)
-    rows = apply_filter(table.frame(), filters, table.null_model)
+    rows = table.filtered({"filter": filters, "controls": {k: v for k, v in controls.items() if k != "$with"}})
+    rows = apply_filter(rows, space.overlays.get(relation.target), table.null_model, table.collations())
     if controls.get("$with"):
         rows = with_relations(rows, controls["$with"], table.model, space)
     chosen = None
     if controls.get("$select"):
         nested = tuple(s if isinstance(s, str) else s["name"] for s in controls.get("$with") or [])
-        chosen = project(rows, controls["$select"], keep=(*keys, *nested)).columns
+        chosen = project(rows, controls["$select"], keep=(*keys, *nested), hidden=table.hidden()).columns
+    elif table.hidden():
+        chosen = [c for c in rows.columns if c not in table.hidden()]
     return rows, controls, chosen
 
 

@@ -63,11 +63,15 @@ def search(df: DataFrame, model: Model, query: str, *, index: str | None = None,
         return df.where(F.lit(False)).withColumn("_score", F.lit(0.0))
     fields = {f"__t{i}": text.tokens(F.coalesce(indexed_text(df.schema, p), F.lit(""))) for i, p in enumerate(used.fields)}
     weights = used.weights or (1.0,) * len(used.fields)
+    if not fuzzy:
+        # Cheap and implied by a match: a token's letters occur in the text, so few texts are split into tokens.
+        whole = F.lower(F.concat_ws(" ", *[indexed_text(df.schema, p) for p in used.fields]))
+        df = df.where(reduce(lambda a, b: a & b if mode == "all" else a | b, [F.contains(whole, F.lit(t)) for t in wanted]))
     rows = df.withColumns(fields)
     held = F.concat(*[F.col(c) for c in fields])
     found = [text.matches(held, t, used.strategy, fuzzy) for t in wanted]
     rows = rows.where(reduce(lambda a, b: a & b if mode == "all" else a | b, found))
-    score = reduce(lambda a, b: a + b, [text.frequency(F.col(c), t) * F.lit(float(w)) for c, w in zip(fields, weights) for t in wanted])
+    score = reduce(lambda a, b: a + b, [text.frequency(F.col(c), t, fuzzy) * F.lit(float(w)) for c, w in zip(fields, weights) for t in wanted])
     return rows.withColumn("_score", score.cast("double")).drop(*fields)
 
 

@@ -54,11 +54,11 @@ def with_defaults(new: DataFrame, model: Model, existing: DataFrame | None = Non
     return new.select(*[f.name for f in model.fields if not f.ignore])
 
 
-def violations(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows that break the model, with ``problem``: missing values and points out of bounds."""
+def violations(rows: DataFrame, model: Model, only: set[str] | None = None) -> DataFrame:
+    """Rows that break the model, with ``problem``: missing values and points out of bounds; ``only`` in some fields."""
     problems = []
     for f in model.fields:
-        if f.ignore:
+        if f.ignore or only is not None and f.name not in only:
             continue
         c = F.col(f"`{f.name}`")
         if not f.optional:
@@ -72,14 +72,23 @@ def violations(rows: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("problem", F.coalesce(*problems) if problems else F.lit(None).cast("string")).where("problem IS NOT NULL")
 
 
-def duplicates(rows: DataFrame, model: Model) -> DataFrame:
-    """Keys and unique tuples that occur more than once (constraint, values, n); tuples with a null are exempt."""
+def duplicates(rows: DataFrame, model: Model, new: DataFrame | None = None, changed: set[str] | None = None) -> DataFrame | None:
+    """Keys and unique tuples that occur more than once (constraint, values, n); tuples with a null are exempt.
+
+    With ``new``, only those that the new rows have, so that the rest of the table is
+    not grouped; with ``changed``, only tuples with such a field.  None if none is left.
+    """
     found = []
     for fields in model.identifications():
+        if changed is not None and not changed & set(fields):
+            continue
         known = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in fields])
-        many = rows.where(known).groupBy(*[F.col(f"`{k}`") for k in fields]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        own = rows.where(known)
+        if new is not None:
+            own = own.join(new.select(*[F.col(f"`{k}`") for k in fields]), list(fields), "left_semi")
+        many = own.groupBy(*[F.col(f"`{k}`") for k in fields]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found.append(many.select(F.lit(",".join(fields)).alias("constraint"), F.to_json(F.struct(*[F.col(f"`{k}`") for k in fields])).alias("values"), "n"))
-    return reduce(lambda a, b: a.unionByName(b), found)
+    return reduce(lambda a, b: a.unionByName(b), found) if found else None
 
 
 def insert(table: DataFrame, new: DataFrame, model: Model) -> DataFrame:
@@ -114,8 +123,8 @@ def replace_rows(table: DataFrame, new: DataFrame, model: Model, *, keys: tuple[
     return joined.select(*out)
 
 
-def update_rows(table: DataFrame, patches: DataFrame, model: Model, *, keys: tuple[str, ...] | None = None, cas: str | None = None) -> DataFrame:
-    """Partial rows by key: columns that ``patches`` has are set where not null; each row hit gets its next version."""
+def update_rows(table: DataFrame, patches: DataFrame, model: Model, *, keys: tuple[str, ...] | None = None, cas: str | None = None, nulls: tuple[str, ...] = ()) -> DataFrame:
+    """Partial rows by key: columns that ``patches`` has are set where not null, those in ``nulls`` always; each row hit gets its next version."""
     keys = keys or model.pk
     if model.version and model.version in patches.columns and model.version != cas:
         raise QueryError("VERSION_COLUMN_WRITE", "a version is never written", model.version)
@@ -126,16 +135,17 @@ def update_rows(table: DataFrame, patches: DataFrame, model: Model, *, keys: tup
         if model.version == c:
             own = F.when(hit, F.coalesce(own, F.lit(0)) + 1).otherwise(own).cast(table.schema[c].dataType)
         elif c in patches.columns and c not in keys:
-            own = F.when(hit, F.coalesce(F.col(f"__new_{c}").cast(table.schema[c].dataType), own)).otherwise(own)
+            new = F.col(f"__new_{c}").cast(table.schema[c].dataType)
+            own = F.when(hit, new if c in nulls else F.coalesce(new, own)).otherwise(own)
         out.append(own.alias(c))
     return joined.select(*out)
 
 
-def update_many(table: DataFrame, filter: Any, changes: dict, model: Model, null_model: str = "sql") -> DataFrame:
+def update_many(table: DataFrame, filter: Any, changes: dict, model: Model, null_model: str = "sql", collations: dict[str, str] | None = None) -> DataFrame:
     """Patches every row that a filter matches; ``$cas`` is for single rows only."""
     if "$cas" in changes:
         raise QueryError("INVALID_QUERY", "$cas is for one row", "$cas")
-    hit = F.coalesce(Filters(table.schema, null_model).compile(filter), F.lit(False))
+    hit = F.coalesce(Filters(table.schema, null_model, collations).compile(filter), F.lit(False))
     new = patch_columns(table, changes, model, null_model)
     return table.select(*[(F.when(hit, new[c]).otherwise(F.col(f"`{c}`")) if c in new else F.col(f"`{c}`")).alias(c) for c in table.columns])
 
@@ -145,8 +155,8 @@ def replace_many(table: DataFrame, filter: Any, row: dict, model: Model, null_mo
     return update_many(table, filter, row, model, null_model)
 
 
-def update_one(table: DataFrame, payload: dict, model: Model, null_model: str = "sql") -> DataFrame:
-    """Patches the row that a payload identifies; with ``$cas`` only at that version."""
+def identified(payload: dict, model: Model) -> tuple[dict, dict]:
+    """The filter for the row that a payload identifies, with ``$cas`` at that version only, and the changes."""
     payload = dict(payload)
     version = payload.pop("$cas", None)
     keys = next((k for k in model.identifications() if all(payload.get(x) is not None for x in k)), None)
@@ -157,11 +167,17 @@ def update_one(table: DataFrame, payload: dict, model: Model, null_model: str =
         if not model.version:
             raise QueryError("INVALID_QUERY", "the model has no version", "$cas")
         filter[model.version] = version
-    return update_many(table, filter, payload, model, null_model) if payload else table
+    return filter, payload
+
+
+def update_one(table: DataFrame, payload: dict, model: Model, null_model: str = "sql") -> DataFrame:
+    """Patches the row that a payload identifies; with ``$cas`` only at that version."""
+    filter, changes = identified(payload, model)
+    return update_many(table, filter, changes, model, null_model) if changes else table
 
 
-def delete_many(table: DataFrame, filter: Any, null_model: str = "sql") -> DataFrame:
-    return table.where(~F.coalesce(Filters(table.schema, null_model).compile(filter), F.lit(False)))
+def delete_many(table: DataFrame, filter: Any, null_model: str = "sql", collations: dict[str, str] | None = None) -> DataFrame:
+    return table.where(~F.coalesce(Filters(table.schema, null_model, collations).compile(filter), F.lit(False)))
 
 
 def matched_count(table: DataFrame, filter: Any, null_model: str = "sql") -> DataFrame:

@@ -48,6 +48,8 @@ def check(query: dict, model: Model | None) -> tuple[list[str], list[dict]]:
             f = model.find(name)
             if f is None:
                 raise QueryError("INVALID_QUERY", "unknown field", name)
+            if f.write_only:
+                raise QueryError("INVALID_QUERY", "the field is never read", name)
             if f.encrypted:
                 raise QueryError("ENC_FIELD_AGG", "an encrypted field can't be aggregated", name)
         if model.dimensions or model.measures:

@@ -85,6 +85,8 @@ class Filters:
             return F.lit(str(value)).cast(kind) if isinstance(value, (str, dt.date)) else literal
         if isinstance(kind, T.DecimalType) and isinstance(value, (str, float, Decimal)):
             return F.lit(str(value)).try_cast(kind)
+        if isinstance(kind, T.IntegralType) and isinstance(value, str) and re.fullmatch(r"\s*[+-]?\d{1,38}\s*", value):
+            return F.lit(int(value)) if abs(int(value)) < 1 << 63 else literal.cast("decimal(38,0)")
         if isinstance(kind, T.NumericType) and isinstance(value, str):
             return literal.try_cast("double")
         if isinstance(kind, T.StringType) and isinstance(value, (int, float)) and not isinstance(value, bool):

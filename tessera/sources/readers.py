@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -16,6 +18,41 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _file(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
+def _lists(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    fs, at = _file(spark, f"{root}/_tables")
+    return sorted((int(s.getPath().getName()), s.getPath().toString()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()) if fs.exists(at) else []
+
+
+def current(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folder of each table as of the last commit under a root."""
+    found = _lists(spark, root)
+    return json.loads(spark.read.text(found[-1][1], wholetext=True).first()[0]) if found else {}
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, str]) -> None:
+    """Makes a list of tables the current one: it is written aside, then moved to the next number, which only one writer can take."""
+    fs, aside = _file(spark, f"{root}/_tables/_{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    try:
+        out.write(bytearray(json.dumps(tables).encode()))
+    finally:
+        out.close()
+    found = _lists(spark, root)
+    _, to = _file(spark, f"{root}/_tables/{(found[-1][0] if found else 0) + 1}")
+    if fs.exists(to) or not fs.rename(aside, to):
+        raise QueryError("CONFLICT", "another commit came first", root)
+
+
 def rows(spark: SparkSession, model: Model, values: list[dict]) -> DataFrame:
     """A snapshot of rows held in memory."""
     names = [f.name for f in model.fields if not f.ignore]

@@ -1,8 +1,10 @@
 """Reads and writes on small tables with known results."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
+from tessera.facade import Facade
 from tessera.model import Field, ForeignKey, Index, Model, Relation, View, ViewColumn
 from tessera.operators import nested, sync
 from tessera.operators.actions import Action, fetch, gate
@@ -136,6 +138,128 @@ def test_encryption_and_commit(spark, tmp_path):
     assert e.value.code == "ENC_FIELD_FILTER"
 
 
+def test_commit_never_touches_what_is_read(spark, space, tmp_path):
+    t, path = space.table("tags"), str(tmp_path / "tags")
+    t.commit(t.insert([{"id": 3, "label": "z"}]), path)
+    for target in (path, str(tmp_path)):
+        with pytest.raises(QueryError) as e:
+            t.commit(t.delete_many({"id": 1}), target)
+        assert e.value.code == "CONFLICT"
+    assert sorted(r["id"] for r in t.frame().collect()) == [1, 2, 3]
+    t.commit(t.delete_many({"id": 1}), path + "2")
+    assert sorted(r["id"] for r in t.frame().collect()) == [2, 3]
+
+
+def test_tables_are_committed_together(spark, space, tmp_path):
+    root = str(tmp_path)
+    space.commit(space.table("authors").delete({"id": 2}), root)
+    assert {r["id"] for r in space.table("posts").frame().collect()} == {10, 11, 13}
+    broken = space.table("posts").frame().withColumn("title", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception):
+        space.commit({"authors": space.table("authors").delete_many({"id": 1}), "posts": broken}, root)
+    assert {r["id"] for r in space.table("authors").frame().collect()} == {1, 3}
+    again = Space(spark)
+    for m in (AUTHORS, POSTS, POST_TAGS):
+        again.add_rows(m, [])
+    again.attach(root)
+    assert {r["id"] for r in again.table("authors").frame().collect()} == {1, 3} and again.table("post_tags").frame().count() == 2
+
+
+def test_hidden_fields_stay_hidden(spark):
+    s = Space(spark)
+    user = Model("u", (Field("id", "int64", pk=True), Field("name"), Field("secret", write_only=True)))
+    note = Model("n", (Field("id", "int64", pk=True), Field("owner", "int64")), fks=(ForeignKey(("owner",), "u", ("id",)),), relations=(Relation("user", "to", "u"),))
+    s.add_rows(user, [{"id": 1, "name": "n", "secret": "s"}, {"id": 2, "name": "m", "secret": "t"}])
+    s.add_rows(note, [{"id": 1, "owner": 1}, {"id": 2, "owner": 2}])
+    for spec in ("user", {"name": "user", "controls": {"$select": ["name", "secret"]}}, {"name": "user", "controls": {"$select": {"id": 0}}}):
+        found = s.table("n").find_many({"controls": {"$with": [spec]}})
+        assert "secret" not in found.schema["user"].dataType.names
+    for select in (["secret"], ["name", {"$fn": "max", "$field": "secret"}]):
+        with pytest.raises(QueryError):
+            s.table("u").aggregate({"controls": {"$groupBy": [select[0]], "$select": select}})
+    s.overlays["u"] = {"id": 1}
+    assert {r["id"]: r["user"] is not None for r in s.table("n").find_many({"controls": {"$with": ["user"]}}).collect()} == {1: True, 2: False}
+    assert Facade(s, "u").query("").count() == 1
+
+
+def test_guards_hold_everywhere(spark):
+    s = Space(spark, key=bytes(range(32)))
+    user = Model("u", (Field("id", "int64", pk=True), Field("name", collate="nocase"), Field("pin", encrypted=True)))
+    note = Model("n", (Field("id", "int64", pk=True), Field("owner", "int64")), fks=(ForeignKey(("owner",), "u", ("id",)),), relations=(Relation("user", "to", "u"),))
+    s.add(user, lambda: spark.createDataFrame([(1, "Ann", None), (2, "bob", None)], "id long, name string, pin string"))
+    s.add_rows(note, [{"id": 1, "owner": 1}])
+    u, bad = s.table("u"), {"pin": "1"}
+    for run in (lambda: u.aggregate({"filter": bad, "controls": {"$groupBy": ["name"]}}), lambda: u.update_many(bad, {"name": "x"}), lambda: u.delete_many(bad), lambda: s.table("n").find_many({"controls": {"$with": [{"name": "user", "filter": bad}]}})):
+        with pytest.raises(QueryError) as e:
+            run()
+        assert e.value.code == "ENC_FIELD_FILTER"
+    assert u.delete_many({"name": "ANN"}).count() == 1
+    assert s.table("n").find_many({"controls": {"$with": [{"name": "user", "filter": {"name": "ANN"}}]}}).first()["user"]["id"] == 1
+
+
+def test_sort_outlives_joins(spark, sf_dir):
+    from tessera.tables import space as tables
+
+    s, before = tables(spark, sf_dir), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for controls in ({"$limit": 50}, {}):
+            prices = [r["o_totalprice"] for r in s.table("orders").find_many({"controls": {"$sort": "-o_totalprice", "$with": ["customer", "lines"], **controls}}).collect()]
+            assert prices == sorted(prices, reverse=True) and len(prices) >= 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_writes_are_checked(space, spark):
+    posts, tags = space.table("posts"), space.table("tags")
+    for write, code in (
+        (lambda: posts.replace([{"id": 10, "title": "x", "author": 99}]), "FK_VIOLATION"), (lambda: posts.update({"id": 10, "author": 99}), "FK_VIOLATION"),
+        (lambda: posts.update_many({"id": 10}, {"author": 99}), "FK_VIOLATION"), (lambda: posts.replace([{"id": 10, "author": 1}]), "INVALID_QUERY"),
+        (lambda: posts.update({"id": 10, "title": None}), "INVALID_QUERY"), (lambda: tags.replace([{"id": 1, "label": "a"}, {"id": 1, "label": "b"}]), "CONFLICT"),
+        (lambda: tags.update(spark.createDataFrame([(1, "a"), (1, "b")], "id long, label string")), "CONFLICT"),
+    ):
+        with pytest.raises(QueryError) as e:
+            write()
+        assert e.value.code == code
+    patch = spark.createDataFrame([(10, None, None)], "id long, title string, author long")
+    assert {r["id"]: (r["title"], r["author"]) for r in posts.update(patch, nulls=("author",)).collect()}[10] == ("a", None)
+    assert {r["id"]: r["author"] for r in posts.update({"id": 10, "author": None}).collect()}[10] is None
+
+
+def test_text_against_integers(spark):
+    s = Space(spark)
+    s.add_rows(Model("k", (Field("id", "int64", pk=True),)), [{"id": 9007199254740992}, {"id": 9007199254740993}, {"id": 5}])
+    t = s.table("k")
+    assert t.find_many({"filter": {"id": "9007199254740993"}}).count() == 1
+    assert t.find_many({"filter": {"id": {"$gt": "5.5"}}}).count() == 2 and t.find_many({"filter": {"id": {"$lt": "99999999999999999999"}}}).count() == 3
+
+
+def test_search_counts_pages(spark, sf_dir):
+    from tessera.tables import space as tables
+
+    f = Facade(tables(spark, sf_dir), "documents")
+    none = f.pages("$search=zzzznotthere")
+    assert none["count"] == 0 and none["pages"] == 0 and none["data"].count() == 0 and f.query("$search=zzzznotthere&$count").first()["count"] == 0
+    some = f.pages("$search=of&$size=7")
+    assert 0 < some["count"] < 1000 and some["data"].count() == min(7, some["count"])
+
+
+def test_array_operands(spark):
+    s = Space(spark)
+    inner = (Field("k"), Field("v", "int64", optional=True), Field("w", optional=True))
+    m = Model("b", (Field("id", "int64", pk=True), Field("items", array=True, keys=("k",), merge=True, fields=inner), Field("plain", array=True), Field("once", array=True, unique_items=True)))
+    s.add_rows(m, [{"id": 1, "items": [("a", 1, "x"), ("b", 2, "y")], "plain": ["p", "p"], "once": ["q", "q"]}])
+    row = s.table("b").update({"id": 1, "items": upsert([{"k": "a", "v": None}, {"k": "c", "v": 1}, {"k": "c", "v": 2}]), "plain": upsert(["p", "r", "r"]), "once": insert(["q", "z"])}).first()
+    assert [tuple(i) for i in row["items"]] == [("a", None, "x"), ("b", 2, "y"), ("c", 2, None)]
+    assert row["plain"] == ["p", "p", "r"] and row["once"] == ["q", "q", "z"]
+
+
+def test_excluding_a_join_key(space):
+    for select in (["-author"], {"author": 0}):
+        with pytest.raises(QueryError):
+            space.table("posts").find_many({"controls": {"$select": select, "$with": ["writer"]}})
+
+
 def test_nested_insert_order(space):
     plan = nested.plan_insert(space, "posts", [{"id": 20, "title": "n", "writer": {"id": 9, "name": "new"}, "tags": [{"id": 1}, {"id": 5, "label": "z"}]}])
     assert [(t, len(rows)) for t, rows in plan] == [("authors", 1), ("tags", 1), ("posts", 1), ("post_tags", 2)]
