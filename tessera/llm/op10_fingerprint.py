@@ -7,7 +7,8 @@ hashes.  Subtracting the cells of two versions leaves the digests in which they
 differ, and peeling (taking out cells that hold one digest) recovers these.  If
 peeling gets stuck, both versions are sketched again, larger: the digests are
 dealt by hash to groups of about ``GROUP``, each with a sketch of its own, so the
-work stays in proportion to the text however long it is.
+work stays in proportion to the text however long it is.  A group that gets stuck is
+tried again by itself, with another hash and twice the cells, until it is recovered.
 
 All of it is DataFrame operations on the JVM.
 
@@ -28,8 +29,8 @@ from .shared import documents, let, written
 
 #: Code points of a piece of a paragraph; cells of a subtable of the fingerprint.
 PIECE, CELLS = 128, 8
-#: Digests of a group, and the cells of a subtable in each further try.
-GROUP, RETRIES = 24, (14, 28, 64)
+#: Digests of a group, the cells of its subtables in the first try, and how often they may double.
+GROUP, FIRST_CELLS, DOUBLINGS = 24, 14, 16
 #: Rounds of peeling; each takes out all cells that hold one digest.
 ROUNDS = 12
 #: Documents of a bucket when looking for the next document, as a power of two.
@@ -45,35 +46,38 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _place(spread: Column, table: int, cells: int) -> Column:
-    return F.pmod(F.shiftright(spread, 20 * table), F.lit(cells))
+def _col(value: Column | int) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
 
-def sketch(keys: Column, cells: int = CELLS, seed: int = 0) -> Column:
-    """The three subtables of a digest set, as one array of (n, key, check)."""
-    entry = lambda d: F.struct(d.alias("key"), F.xxhash64(d, F.lit(seed)).alias("spread"), _check(d).alias("check"))
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+def _spots(key: Column, sign: Column, cells: Column, seed: Column) -> Column:
+    """What a digest adds, with its sign, to its cell in each of the three subtables."""
+    entry = F.struct(key.alias("key"), F.xxhash64(key, seed).alias("spread"), _check(key).alias("check"))
+    at = lambda e, t: (F.pmod(F.shiftright(e["spread"], 20 * t), cells) + t * cells).cast("int")
+    return let(entry, lambda e: F.array(*[F.struct(at(e, t).alias("at"), sign.alias("n"), e["key"].alias("key"), e["check"].alias("check")) for t in range(3)]))
+
 
-    def subtable(entries: Column, table: int) -> Column:
-        placed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["check"].alias("check"), _place(e["spread"], table, cells).alias("at")))
-        put = lambda i: lambda held, e: F.when(e["at"] == i, F.struct((held["n"] + 1).alias("n"), held["key"].bitwiseXOR(e["key"]).alias("key"), held["check"].bitwiseXOR(e["check"]).alias("check"))).otherwise(held)
-        return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.aggregate(p, empty, put(i))))
+def _put(cells: Column, spots: Column) -> Column:
+    """Cells with all spots added, each in its place."""
+    add = lambda c, s: F.struct((c["n"] + s["n"]).alias("n"), c["key"].bitwiseXOR(s["key"]).alias("key"), c["check"].bitwiseXOR(s["check"]).alias("check"))
+    return F.aggregate(spots, cells, lambda held, s: F.concat(F.slice(held, F.lit(1), s["at"]), F.array(add(F.element_at(held, s["at"] + 1), s)), F.slice(held, s["at"] + 2, F.size(held))))
 
-    return let(F.transform(keys, entry), lambda entries: F.concat(*[subtable(entries, t) for t in range(3)]))
+
+def sketch(keys: Column, cells: Column | int = CELLS, seed: Column | int = 0) -> Column:
+    """The three subtables of a digest set, as one array of (n, key, check)."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+    spots = F.flatten(F.transform(keys, lambda d: _spots(d, F.lit(1), _col(cells), _col(seed))))
+    return _put(F.array_repeat(empty, (_col(cells) * 3).cast("int")), spots)
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
-def peel(cells: Column, width: int = CELLS, seed: int = 0) -> Column:
+def peel(cells: Column, width: Column | int = CELLS, seed: Column | int = 0) -> Column:
     """The digests left in a difference, with their sign (1: only in the first), or null if peeling gets stuck."""
     pure = lambda held: F.array_distinct(F.transform(F.filter(held["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
-
-    def without(cells: Column, found: Column) -> Column:
-        spread = F.transform(found, lambda p: F.struct(p["n"].alias("n"), p["key"].alias("key"), _check(p["key"]).alias("check"), *[(_place(F.xxhash64(p["key"], F.lit(seed)), t, width) + t * width).alias(f"at{t}") for t in range(3)]))
-        take = lambda i: lambda held, p: F.when((p["at0"] == i) | (p["at1"] == i) | (p["at2"] == i), F.struct((held["n"] - p["n"]).alias("n"), held["key"].bitwiseXOR(p["key"]).alias("key"), held["check"].bitwiseXOR(p["check"]).alias("check"))).otherwise(held)
-        return let(spread, lambda s: F.transform(cells, lambda c, i: F.aggregate(s, c, take(i))))
+    without = lambda cells, found: _put(cells, F.flatten(F.transform(found, lambda p: _spots(p["key"], -p["n"], _col(width), _col(seed)))))
 
     def round_(held: Column, _: Column) -> Column:
         return F.when(held["over"], held).otherwise(let(pure(held), lambda found: F.when(F.size(found) == 0, F.struct(held["cells"].alias("cells"), held["found"].alias("found"), F.lit(True).alias("over"))).otherwise(F.struct(without(held["cells"], found).alias("cells"), F.concat(held["found"], found).alias("found"), F.lit(False).alias("over")))))
@@ -84,21 +88,24 @@ def peel(cells: Column, width: int = CELLS, seed: int = 0) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda held, i: round_(held, i), lambda held: F.when(F.forall(held["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)), held["found"]))
 
 
-def _grouped(a: Column, b: Column, groups: Column, cells: int, seed: int) -> Column:
-    """What peeling finds in each group of the digests, null where it gets stuck."""
-    part = lambda keys, g: F.filter(keys, lambda d: F.pmod(F.xxhash64(d, F.lit(100 + seed)), groups) == g)
-    return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: peel(subtract(sketch(part(a, g), cells, seed), sketch(part(b, g), cells, seed)), cells, seed))
+def _recovered(a: Column, b: Column) -> Column:
+    """The signed digests in which two sets differ, by sketches that double until peeling recovers them."""
+    none = F.lit(None).cast("array<struct<n:int,key:bigint>>")
+
+    def attempt(held: Column, k: Column) -> Column:
+        size, seed = F.call_function("shiftleft", F.lit(FIRST_CELLS), k), k + 1
+        return F.when(held.isNotNull(), held).otherwise(peel(subtract(sketch(a, size, seed), sketch(b, size, seed)), size, seed))
+
+    failed = F.raise_error(F.lit("two digests share their cells under every hash")).cast("array<struct<n:int,key:bigint>>")
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), none, attempt), failed)
 
 
 def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """The digests in which two texts differ: from their fingerprints if these suffice, else from larger ones."""
-    tries = [peel(subtract(cells_a, cells_b))]
     groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / GROUP)).cast("int")
-    for seed, cells in enumerate(RETRIES, 1):
-        each = _grouped(a, b, groups, cells, seed)
-        tries.append(let(each, lambda found: F.when(F.forall(found, lambda x: x.isNotNull()), F.flatten(found))))
-    signed = lambda keys, n: F.transform(keys, lambda d: F.struct(F.lit(n).alias("n"), d.alias("key")))
-    return F.coalesce(*tries, F.concat(signed(F.array_except(a, b), 1), signed(F.array_except(b, a), -1)))
+    part = lambda keys, g: F.filter(keys, lambda d: F.pmod(F.xxhash64(d, F.lit(100)), groups) == g)
+    each = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: let(F.struct(part(a, g).alias("a"), part(b, g).alias("b")), lambda s: _recovered(s["a"], s["b"])))
+    return F.coalesce(peel(subtract(cells_a, cells_b)), F.flatten(each))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:

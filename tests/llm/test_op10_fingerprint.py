@@ -62,6 +62,21 @@ def test_peeling_recovers_or_says_so(spark):
     assert row["few"] is None and {(x["n"], x["key"]) for x in row["many"]} == {(1, i) for i in range(20)} | {(-1, i) for i in range(40, 60)}
 
 
+def test_doubling_recovers_what_is_stuck(spark, monkeypatch):
+    """With far too few cells at first, each group doubles them until it is recovered."""
+    monkeypatch.setattr(op, "FIRST_CELLS", 1)
+    rows = [(list(range(i, i + 9 * i)), list(range(2 * i, 12 * i))) for i in range(1, 15)]
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    found = op.differing(F.col("a"), F.col("b"), op.sketch(F.col("a")), op.sketch(F.col("b")))
+    for r in table.withColumn("found", found).collect():
+        assert sorted((x["key"], x["n"]) for x in r["found"]) == sorted([(k, 1) for k in set(r["a"]) - set(r["b"])] + [(k, -1) for k in set(r["b"]) - set(r["a"])])
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"line {i} " + "x" * (i % 300) for i in range(4000))
+    check(spark, [(1, long), (2, "short"), (3, long[1000:])])
+
+
 def test_next_ids(spark):
     r = random.Random(7)
     ids = sorted({r.randrange(-(2**62), 2**62) for _ in range(50)} | set(range(1000, 1300)))

@@ -1,10 +1,13 @@
 import os
 import sys
+from collections import defaultdict
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline as P
-from brute import classes, words, without_repeats
+from brute import classes, mix_targets, without_repeats, words
+
+from tessera.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,9 +33,27 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         assert r["text"] == before[i] if want[i][1] == 0 else len(words(r["text"])) == want[i][0] - want[i][1]
         assert r["n_chars"] == len(r["text"])
     assert {r["doc_id"] for r in mixed} <= set(got) and max(sum(1 for r in mixed if r["doc_id"] == i) for i in got) <= 2
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in cut:
+        sizes[r["source"]] += len(words(r["text"]))
+    for r in mixed:
+        taken[r["source"]] += len(words(r["text"]))
+        assert got[r["doc_id"]]["text"].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+    assert all(abs(taken[s] - t) <= 1 for s, t in mix_targets(dict(sizes)).items())
     assert len(tokens) == len(mixed) and all(r["n_tokens"] > 0 for r in tokens)
 
 
+def test_long_texts_and_other_columns(spark, sf_dir):
+    """Columns named like those of the operators, and texts of a hundred thousand words."""
+    rows = [(i, " ".join(f"wort{i}x{j}" for j in range(100_000 if i < 2 else 30)), "de", "a", 9, "x", 1, 2) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, draws long, lang_pred long")
+    for _, stage in P.STAGES[:4]:
+        docs, _ = written(stage(spark, docs, sf_dir), "test")
+        assert sorted(docs.columns) == sorted(COLUMNS)
+    found = [(r["doc_id"], len(words(r["text"]))) for r in docs.collect()]
+    assert {i for i, _ in found} == set(range(6)) and abs(sum(n for _, n in found) - 1.5 * (200_000 + 120)) <= 1
+
+
 def test_empty(spark, sf_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in P.STAGES:
