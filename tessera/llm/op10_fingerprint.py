@@ -50,24 +50,22 @@ def _col(value: Column | int) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def _spots(key: Column, sign: Column, cells: Column, seed: Column) -> Column:
-    """What a digest adds, with its sign, to its cell in each of the three subtables."""
-    entry = F.struct(key.alias("key"), F.xxhash64(key, seed).alias("spread"), _check(key).alias("check"))
-    at = lambda e, t: (F.pmod(F.shiftright(e["spread"], 20 * t), cells) + t * cells).cast("int")
-    return let(entry, lambda e: F.array(*[F.struct(at(e, t).alias("at"), sign.alias("n"), e["key"].alias("key"), e["check"].alias("check")) for t in range(3)]))
-
-
-def _put(cells: Column, spots: Column) -> Column:
-    """Cells with all spots added, each in its place."""
-    add = lambda c, s: F.struct((c["n"] + s["n"]).alias("n"), c["key"].bitwiseXOR(s["key"]).alias("key"), c["check"].bitwiseXOR(s["check"]).alias("check"))
-    return F.aggregate(spots, cells, lambda held, s: F.concat(F.slice(held, F.lit(1), s["at"]), F.array(add(F.element_at(held, s["at"] + 1), s)), F.slice(held, s["at"] + 2, F.size(held))))
+def _place(spread: Column, table: int, cells: Column) -> Column:
+    return F.pmod(F.shiftright(spread, 20 * table), cells)
 
 
 def sketch(keys: Column, cells: Column | int = CELLS, seed: Column | int = 0) -> Column:
     """The three subtables of a digest set, as one array of (n, key, check)."""
+    cells, seed = _col(cells), _col(seed)
+    entry = lambda d: F.struct(d.alias("key"), F.xxhash64(d, seed).alias("spread"), _check(d).alias("check"))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-    spots = F.flatten(F.transform(keys, lambda d: _spots(d, F.lit(1), _col(cells), _col(seed))))
-    return _put(F.array_repeat(empty, (_col(cells) * 3).cast("int")), spots)
+
+    def subtable(entries: Column, table: int) -> Column:
+        placed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["check"].alias("check"), _place(e["spread"], table, cells).alias("at")))
+        put = lambda i: lambda held, e: F.when(e["at"] == i, F.struct((held["n"] + 1).alias("n"), held["key"].bitwiseXOR(e["key"]).alias("key"), held["check"].bitwiseXOR(e["check"]).alias("check"))).otherwise(held)
+        return let(placed, lambda p: F.transform(F.sequence(F.lit(0), cells - 1), lambda i: F.aggregate(p, empty, put(i))))
+
+    return let(F.transform(keys, entry), lambda entries: F.concat(*[subtable(entries, t) for t in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -77,7 +75,13 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells: Column, width: Column | int = CELLS, seed: Column | int = 0) -> Column:
     """The digests left in a difference, with their sign (1: only in the first), or null if peeling gets stuck."""
     pure = lambda held: F.array_distinct(F.transform(F.filter(held["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
-    without = lambda cells, found: _put(cells, F.flatten(F.transform(found, lambda p: _spots(p["key"], -p["n"], _col(width), _col(seed)))))
+    width, seed = _col(width), _col(seed)
+
+    def without(cells: Column, found: Column) -> Column:
+        at = lambda p, t: _place(F.xxhash64(p["key"], seed), t, width) + width * t
+        spread = F.transform(found, lambda p: F.struct(p["n"].alias("n"), p["key"].alias("key"), _check(p["key"]).alias("check"), *[at(p, t).alias(f"at{t}") for t in range(3)]))
+        take = lambda i: lambda held, p: F.when((p["at0"] == i) | (p["at1"] == i) | (p["at2"] == i), F.struct((held["n"] - p["n"]).alias("n"), held["key"].bitwiseXOR(p["key"]).alias("key"), held["check"].bitwiseXOR(p["check"]).alias("check"))).otherwise(held)
+        return let(spread, lambda s: F.transform(cells, lambda c, i: F.aggregate(s, c, take(i))))
 
     def round_(held: Column, _: Column) -> Column:
         return F.when(held["over"], held).otherwise(let(pure(held), lambda found: F.when(F.size(found) == 0, F.struct(held["cells"].alias("cells"), held["found"].alias("found"), F.lit(True).alias("over"))).otherwise(F.struct(without(held["cells"], found).alias("cells"), F.concat(held["found"], found).alias("found"), F.lit(False).alias("over")))))
