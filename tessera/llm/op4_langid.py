@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import row_chunks
-from .shared import claim, documents, ship
+from .shared import documents, ship
 
 #: Characters of each language's text that the automaton is built over; the last text goes beyond, so twice as many at most.
 SAMPLE_CHARS = 50_000
 #: Characters of a piece, at whose end a phrase ends; characters of a batch of texts.
-PIECE, BATCH_CHARS = 1024, 4_000_000
+PIECE, BATCH_CHARS = 512, 1_000_000
 #: Entries of a transition table at most; with a larger alphabet each text is parsed by itself.
 TABLE = 1 << 24
 #: Letters of a stretch of text to whose likelihood the score refers.
@@ -51,7 +51,7 @@ def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """The code points of all texts, lower-cased, other than letters made one space between words; where each text starts; its letters."""
     low = [(t or "").lower() for t in texts]
     points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    doc = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), np.fromiter(map(len, low), np.int64, len(low)) + 1)
     letter = letters()[points]
     kept = letter.copy()
     kept[1:] |= letter[:-1] & ~letter[1:]
@@ -158,7 +158,7 @@ class Table:
 
 
 class CrossParser:
-    """Languages and their automata; also the parser of one worker."""
+    """Languages and their automata, built once and sent to the workers as tables."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -204,17 +204,6 @@ class CrossParser:
         return [(self.langs[b], float(s), float(x)) if n else ("und", 0.0, 0.0) for b, s, x, n in zip(best, score, least, count)]
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
-def _parser(samples: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
-
-
 def held_out(column="doc_id", folds: int = 4):
     """Whether a document is held out: crc32 of its id as text leaves 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == 2, F.lit(False))
@@ -258,13 +247,13 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     :meth:`CrossParser.predict` says.
     """
     ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(samples)
+    # At most 4 * TABLE bytes for a language, whose number is that of the labels.
+    model = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))
     names = [n for n in docs.columns]
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid", _PARSERS.clear)
-        parser = _parser(model.value)
+        parser = model.value
         for rows in row_chunks(batches, BATCH_CHARS):
             rows = rows.combine_chunks()
             langs, scores, bits = zip(*parser.predict(rows.column(at).to_pylist())) if rows.num_rows else ((), (), ())
