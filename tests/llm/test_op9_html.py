@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tessera.llm import op9_html
@@ -34,6 +36,57 @@ def test_short_siblings_stay(intro):
     assert extract(f'<body>{links}<div id="post">{intro.format(first)}{links}{rest}</div></body>') == want
 
 
+WRAPPERS = [
+    '<div class="page has-sidebar">{}</div>', '<div class="post no-comments">{}</div>', '<div class="side-by-side">{}</div>', "<form action=/x>{}</form>", "<div title=it's>{}</div>", '<div title="5" wide">{}</div>',
+    '<div class="with-footer"><div class="menu-open">{}</div></div>', '<body class="modal-ready notice">{}</body>', '<section id="search-result">{}</section>', '<div data-x="a > b">{}</div>', "<div class=content>{}",
+    '<div class="nav-wrapper"><div>{}</div></div>', '<aside>{}</aside>', '<div style="display:none">{}</div>', "<center><font>{}</font></center>", "<DIV CLASS='Content'>{}</DIV>",
+]
+AROUND = [
+    '<div class="comments"><p>{}</p></div>', '<div id="sidebar"><p>{}</p></div>', "<footer><p>{}</p></footer>", "<nav><p>{}</p></nav>", '<div class="cookie-notice">{}</div>', '<div class="ad-banner"><p>{}</p></div>',
+    "<form><label>{}</label><p>{}</p></form>", '<ol class="commentlist"><li class="comment"><p>{}</p></li></ol>', "<script>{}</script>", "<style>{}</style>", '<p hidden>{}</p>', "<!-- {} -->", '<ul class="related"><li><a href="/">{}</a></li></ul>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_say_nothing(wrapper):
+    """Whatever the element around all is called, the article comes out, and only it."""
+    body = f"<p>{LONG * 4}</p><h2>Sub</h2><p>{LONG * 3}</p>"
+    want = " ".join(f"{LONG * 4} Sub {LONG * 3}".split())
+    assert extract(wrapper.format(body)) == want
+    assert extract(f"<html>{wrapper.format('<article>' + body + '</article>')}</html>") == want
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_surroundings_go(around):
+    body = f"<p>{LONG * 4}</p><p>{LONG * 3}</p>"
+    want, other = " ".join(f"{LONG * 4} {LONG * 3}".split()), "Other words, of which there are some here."
+    for page in (f'<div class="post">{body}</div>{around.replace("{}", other)}', f'{around.replace("{}", other)}<article>{body}</article>', f'<div class="has-sidebar">{around.replace("{}", other)}<div>{body}{around.replace("{}", other)}</div></div>'):
+        assert extract(f"<html><body>{page}</body></html>") == want
+
+
+def test_long_comments_are_not_the_article():
+    body, comments = f"<p>{LONG * 4}</p><p>{LONG * 3}</p>", "".join(f'<div class="comment"><p>{LONG * 2}</p></div>' for _ in range(8))
+    assert extract(f'<div class="post">{body}</div><div id="comments">{comments}</div>') == " ".join(f"{LONG * 4} {LONG * 3}".split())
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p a='1' b=2 c>x</p>", "x"), ("<p a=>x</p>", "x"), ("<p =a>x</p>", "x"), ("<p/a>x</p>", "x"), ("a < b <3 c", "a < b <3 c"), ("x<", "x<"), ("x</", "x</"), ("x</>y", "xy"),
+    ("<!-->x", "x"), ("<!--->x", "x"), ("<!doctype html>x<?php y ?>z", "xz"), ("x<a href='y", "x"), ("<![CDATA[x]]>y", "y"), ("<p>x</div></p>y", "x y"), ("<script>a</scripty>b</script >c", "c"), ("<textarea>a<p>b</textarea>c", "c"),
+])
+def test_markup_as_the_standard_reads_it(page, want):
+    assert extract(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div class=x>" * 20_000, "<a '" * 20_000, "<a b='" * 20_000, "</x>" * 50_000, "<b>" * 20_000 + "<hr>" * 20_000, "<" * 50_000, "<!--" * 20_000, "<p a=" * 20_000, "<li>" * 20_000 + "</ul>" * 20_000, "<script>" * 9_000])
+def test_time_is_linear(page):
+    took = []
+    for times in (1, 4):
+        began = time.process_time()
+        extract(page * times)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_very_long_and_deep():
     assert len(extract("<div>" * 5000 + LONG)) == len(LONG) - 1
     assert len(extract("<p>" + "word " * 200_000).split()) == 200_000
