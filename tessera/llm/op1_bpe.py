@@ -89,6 +89,7 @@ class ForcedBoundaryBpe:
             self.new_of.append(vocab[a + b])
         self.joinable = {p for t in vocab if len(t) > 1 for b in [to_bytes(t)] for p in zip(b, b[1:])}
         later = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER)
+        self.first_later = chr(LATER[0][0])
         self.pieces, self.later = regex.compile(PIECES), regex.compile(f"[{later}]")
         # The same pattern for texts with such characters, which are neither letters nor numbers to the library.
         self.pieces_later = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{later}]]").replace(r"?\p{L}+", rf"?[\p{{L}}--[{later}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{later}]]+"), regex.V1)
@@ -172,7 +173,8 @@ class ForcedBoundaryBpe:
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text; special tokens written out in it count as such."""
-        pattern = self.pieces if text.isascii() or not self.later.search(text) else self.pieces_later
+        later = not text.isascii() and max(text) >= self.first_later and self.later.search(text)
+        pattern = self.pieces_later if later else self.pieces
         ids: list[int] = []
         for part in self.splits.split(text) if self.splits is not None and any(s in text for s in self.special) else (text,):
             if part in self.special:

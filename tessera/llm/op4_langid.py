@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import row_chunks
-from .shared import documents, ship
+from .shared import claim, documents, ship
 
 #: Characters of each language's text that the automaton is built over; the last text goes beyond, so twice as many at most.
 SAMPLE_CHARS = 50_000
@@ -253,6 +253,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", lambda: None)
         parser = model.value
         for rows in row_chunks(batches, BATCH_CHARS):
             rows = rows.combine_chunks()

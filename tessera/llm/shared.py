@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import uuid
 import zipfile
@@ -169,7 +172,8 @@ def claim(name: str, clear) -> None:
     """Says whose caches a worker is to hold from now on; those of other operators are cleared.
 
     Spark reuses its Python workers, so that without this a pipeline's workers
-    would hold the caches of all its stages.
+    would hold the caches of all its stages.  What the last operator has freed goes
+    back to the system, or the allocators would keep it from the next one's JVM.
     """
     if len(_CACHES) == 1 and name in _CACHES:
         return
@@ -177,6 +181,13 @@ def claim(name: str, clear) -> None:
     _CACHES[name] = clear
     for f in others:
         f()
+    if others:
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column) -> list[bytes]:
