@@ -51,7 +51,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each draw, of the words drawn, written shard by shard in the order of the local shuffle."""
     drawn = op8_mixing.mix(docs, carry=("text", "lang", "n_chars"))
     rows = drawn.select("doc_id", "text", "lang", "source", "n_chars", "size", F.explode("draws").alias("draw"))
-    rows = rows.select("*", F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place")).repartition("shard").sortWithinPartitions("shard", "place")
+    rows = rows.select("*", F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"))
+    # Shards are of equal size and numbered from 0: dealt by number they fill tasks evenly, where hashes of few shards collide.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "place")
     part = F.col("draw.words") < F.col("size")
     text = F.when(part, op8_mixing.first_words(F.col("text"), F.col("draw.words"))).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
