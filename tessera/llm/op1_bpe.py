@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import claim, documents, ship
+from .shared import claim, documents, ship, tidy
 
 #: The published split pattern of byte-level BPE vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -229,7 +229,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = True
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, ddl)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidy(run), ddl)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

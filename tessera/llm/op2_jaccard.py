@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import by_part, chunked, pack, runs, unpack
-from .shared import chunk_bytes, discard, documents, hash_ranges, hashed_words, hot_keys, mixed, ship, spread_join, text_size, written
+from .shared import chunk_bytes, discard, documents, hash_ranges, hashed_words, hot_keys, mixed, ship, spread_join, text_size, tidy, written
 
 #: Words of a shingle; similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -110,7 +110,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64))]),
             ], names=["key", "sid", "n", "token", "count"])
 
-    return docs.mapInArrow(run, "key long, sid long, n long, token long, count long")
+    return docs.mapInArrow(tidy(run), "key long, sid long, n long, token long, count long")
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -181,8 +181,8 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, parts: int, percent: in
                 cut = slice(start, start + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(sid[cut]), pa.array(size[order[cut]].astype(np.int32)), pa.array(place[order[cut]].astype(np.int32)), pa.array(chosen[order[cut]].astype(np.int32)), pa.array(splits[cut])], names=["token", "sid", "n", "place", "matches", "splits"])
 
-    rows = docs.mapInArrow(emit, "part int, entries binary").repartition(parts, "part")
-    return rows.mapInArrow(shared, "token long, sid long, n int, place int, matches int, splits int")
+    rows = docs.mapInArrow(tidy(emit), "part int, entries binary").repartition(parts, "part")
+    return rows.mapInArrow(tidy(shared), "token long, sid long, n int, place int, matches int, splits int")
 
 
 def bit_filter(ids: DataFrame, bits: int = FILTER_BITS, ranges: int = 64) -> bytes:
@@ -204,7 +204,7 @@ def bit_filter(ids: DataFrame, bits: int = FILTER_BITS, ranges: int = 64) -> byt
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(on).tobytes()], pa.binary())], names=["part", "bits"])
 
     whole = bytearray((1 << bits) // 8)
-    made = ids.mapInArrow(parts, "part int, at binary").repartition(ranges // 4, "part").mapInArrow(merge, "part int, bits binary")
+    made = ids.mapInArrow(tidy(parts), "part int, at binary").repartition(ranges // 4, "part").mapInArrow(tidy(merge), "part int, bits binary")
     for r in made.collect():
         whole[r["part"] * width // 8 : (r["part"] + 1) * width // 8] = r["bits"]
     return bytes(whole)
@@ -232,7 +232,7 @@ def stored_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 some = distinct[start : start + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([s.view(np.int64) for _, s in some], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    return docs.mapInArrow(run, "sid long, tokens array<long>")
+    return docs.mapInArrow(tidy(run), "sid long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import chunked, pack, runs, unpack
-from .shared import chunk_bytes, documents, hash_ranges, hashed_words, mixed, ship, written
+from .shared import chunk_bytes, documents, hash_ranges, hashed_words, mixed, ship, tidy, written
 
 #: Words of a chunk, at least, and the bytes that a word is taken to have; text bytes for each hash range.
 CHUNK, WORD_BYTES, PART_BYTES = 500_000, 6, 16_000_000
@@ -246,8 +246,8 @@ def answered(rows: DataFrame, parts: int, bits: int, chunk_words: int = CHUNK) -
             chunks, items = held.pop(part)
             yield from answers(chunks, part, items)
 
-    dealt = rows.mapInArrow(emit, "part int, chunk long, whole boolean, data binary").repartition(parts, "part")
-    return dealt.mapInArrow(merge, "chunk long, part int, data binary, total long, distinct long")
+    dealt = rows.mapInArrow(tidy(emit), "part int, chunk long, whole boolean, data binary").repartition(parts, "part")
+    return dealt.mapInArrow(tidy(merge), "chunk long, part int, data binary, total long, distinct long")
 
 
 def held_out(folds: int = 7):

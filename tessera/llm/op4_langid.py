@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import row_chunks
-from .shared import claim, documents, ship
+from .shared import claim, documents, ship, tidy
 
 #: Characters of each language's text that the automaton is built over; the last text goes beyond, so twice as many at most.
 SAMPLE_CHARS = 50_000
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield from pa.table(out, names=[*names, "lang_pred", "score", "bits_per_letter"]).to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_letter double")
+    return docs.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, bits_per_letter double")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

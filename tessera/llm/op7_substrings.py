@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import by_part, frozen, pack, row_chunks, runs, thawed, unpack
-from .shared import chunk_bytes, claim, discard, documents, forget_words, hash_ranges, hashed_words, mixed, ship, text_bytes, text_size, written
+from .shared import chunk_bytes, claim, discard, documents, forget_words, hash_ranges, hashed_words, mixed, ship, text_bytes, text_size, tidy, written
 
 #: Words of a window.
 WINDOW = 35
@@ -84,7 +84,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([frozen(rows)], pa.binary())], names=["chunk", "data"])
             chunk += 1
 
-    return docs.mapInArrow(run, "chunk long, data binary")
+    return docs.mapInArrow(tidy(run), "chunk long, data binary")
 
 
 def chunk_words(data: bytes) -> list[list[bytes]]:
@@ -140,8 +140,8 @@ def sketched(held: DataFrame, size: int, ranges: int, bits: int) -> DataFrame:
                 answers = [pack(*[np.packbits(counts[row, unpack(data)[2 * row]] > 1) for row in range(ROWS)]) for _, data in some]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "part", "data"])
 
-    sent = held.mapInArrow(emit, "part int, chunk long, data binary").repartition(ranges, "part")
-    return sent.mapInArrow(merge, "chunk long, part int, data binary")
+    sent = held.mapInArrow(tidy(emit), "part int, chunk long, data binary").repartition(ranges, "part")
+    return sent.mapInArrow(tidy(merge), "chunk long, part int, data binary")
 
 
 def estimated_repeated(found: np.ndarray, answers: list[tuple[int, bytes]], ranges: int, bits: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def repeated_windows(held: DataFrame, answers: DataFrame, size: int, ranges: int
                     yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
     sent = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(candidates, "part int, chunk long, data binary")
-    return sent.repartition(ranges, "part").mapInArrow(group, "chunk long, data binary")
+    return sent.repartition(ranges, "part").mapInArrow(tidy(group), "chunk long, data binary")
 
 
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:

@@ -25,8 +25,8 @@ MOST_RANGES = 1 << 16
 HOT_ROWS, MOST_HOT = 1000, 10_000
 #: Spark's setting that a query's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch at most; bytes beyond which a batch takes no further row.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,9 +64,10 @@ def ship(spark: SparkSession) -> None:
 
     Also bounds the session's Arrow batches, whose rows are whole texts here.
     """
-    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    sc = spark.sparkContext
+    for key, most in ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
     if getattr(sc, "_tessera_shipped", False):
         return
     root, data = Path(__file__).resolve().parents[1], io.BytesIO()
@@ -172,8 +173,7 @@ def claim(name: str, clear) -> None:
     """Says whose caches a worker is to hold from now on; those of other operators are cleared.
 
     Spark reuses its Python workers, so that without this a pipeline's workers
-    would hold the caches of all its stages.  What the last operator has freed goes
-    back to the system, or the allocators would keep it from the next one's JVM.
+    would hold the caches of all its stages.
     """
     if len(_CACHES) == 1 and name in _CACHES:
         return
@@ -182,12 +182,29 @@ def claim(name: str, clear) -> None:
     for f in others:
         f()
     if others:
-        import pyarrow as pa
+        give_back()
 
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+
+def give_back() -> None:
+    """Returns to the system what a worker has freed, which the allocators would keep from the JVM beside it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches after which its worker, idle from then on, holds no freed memory."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def text_bytes(column) -> list[bytes]:
