@@ -182,6 +182,7 @@ def claim(name: str, clear) -> None:
     for f in others:
         f()
     if others:
+        gc.collect()
         give_back()
 
 
@@ -189,7 +190,6 @@ def give_back() -> None:
     """Returns to the system what a worker has freed, which the allocators would keep from the JVM beside it."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
