@@ -41,8 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated windows go, all else of a text stays as it is; a text with nothing left goes."""
-    cut = op7_substrings.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    # A text from which nothing goes is kept as it was, so that it isn't carried beside itself; only null would come back empty.
+    rows = docs.select("doc_id", "text", "lang", "source", F.col("text").isNull().alias("missing"))
+    cut = op7_substrings.remove_repeats(rows, carry=("lang", "source", "missing"))
+    text = F.when(~F.col("missing"), F.col("kept"))
     kept = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return kept.select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
 

@@ -253,7 +253,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid", lambda: None)
+        claim("langid")
         parser = model.value
         for rows in row_chunks(batches, BATCH_CHARS):
             rows = rows.combine_chunks()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import by_part, frozen, pack, row_chunks, runs, thawed, unpack
-from .shared import chunk_bytes, claim, discard, documents, forget_words, hash_ranges, hashed_words, mixed, ship, text_bytes, text_size, tidy, written
+from .shared import chunk_bytes, claim, discard, documents, hash_ranges, hashed_words, mixed, ship, text_bytes, text_size, tidy, tidy_cogroup, written
 
 #: Words of a window.
 WINDOW = 35
@@ -58,12 +58,13 @@ def windows(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray
     """Hash, document number and place of every window of a chunk, in order."""
     lengths = np.array([len(w) for w in words], np.int64)
     flat = hashed_words([w for doc in words for w in doc])
-    n = len(flat)
+    count, n = len(words), len(flat)
+    del words  # of all that a chunk needs the largest
     if n < size:
         return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
     up, down = _powers(n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * up[:n], dtype=np.uint64)])
-    doc = np.repeat(np.arange(len(words), dtype=np.uint32), lengths)
+    doc = np.repeat(np.arange(count, dtype=np.uint32), lengths)
     place = np.arange(n, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.flatnonzero(place + size <= np.repeat(lengths, lengths))
     return mixed((sums[at + size] - sums[at]) * down[at]), doc[at], place[at].astype(np.uint32)
@@ -88,7 +89,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
 
 
 def chunk_words(data: bytes) -> list[list[bytes]]:
-    claim("words", forget_words)
+    claim("words")
     return [t.split() for c in thawed(data).column("text").chunks for t in text_bytes(c)]
 
 
@@ -113,15 +114,18 @@ class Cells:
 def sketched(held: DataFrame, size: int, ranges: int, bits: int) -> DataFrame:
     """(chunk, part, data): for each chunk and range, which of the chunk's cells there hold two or more windows."""
 
+    def messages(chunk: int, data: bytes) -> pa.RecordBatch:
+        found, _, _ = windows(chunk_words(data), size)
+        rows = [Cells(found, r, ranges, bits) for r in range(ROWS)]
+        del found
+        parts = np.flatnonzero(np.diff(rows[0].edges)).tolist()
+        sent = [pack(*[x for c in rows for at in [slice(c.edges[p], c.edges[p + 1])] for x in (c.inside[at], np.packbits(c.lengths[at] > 1))]) for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(sent, pa.binary())], names=["part", "chunk", "data"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, _, _ = windows(chunk_words(data.as_py()), size)
-                rows = [Cells(found, r, ranges, bits) for r in range(ROWS)]
-                del found
-                parts = np.flatnonzero(np.diff(rows[0].edges)).tolist()
-                sent = [pack(*[x for c in rows for at in [slice(c.edges[p], c.edges[p + 1])] for x in (c.inside[at], np.packbits(c.lengths[at] > 1))]) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(sent, pa.binary())], names=["part", "chunk", "data"])
+                yield messages(chunk, data.as_py())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
@@ -200,7 +204,7 @@ def repeated_windows(held: DataFrame, answers: DataFrame, size: int, ranges: int
                     data = pack(np.concatenate([doc[on], known_doc]), np.concatenate([place[on], known_place]))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
-    sent = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(candidates, "part int, chunk long, data binary")
+    sent = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy_cogroup(candidates), "part int, chunk long, data binary")
     return sent.repartition(ranges, "part").mapInArrow(tidy(group), "chunk long, data binary")
 
 
@@ -270,7 +274,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, carry: tuple[str, ...
             columns["kept"] = pa.array(kept, pa.string())
         return pa.table({**columns, **{c: rows.column(h) for c, h in zip(carry, fields)}})
 
-    return held.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, ddl)
+    return held.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(tidy_cogroup(remove), ddl)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

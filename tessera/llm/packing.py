@@ -98,9 +98,9 @@ def chunked(batches: Iterable, size: int, lower: bool = False) -> Iterator[tuple
 
     Words end at ASCII white space; ``lower`` puts A-Z, and nothing else, in lower case.
     """
-    from .shared import claim, forget_words, text_bytes
+    from .shared import claim, text_bytes
 
-    claim("words", forget_words)
+    claim("words")
     keys, words, held = [], [], 0
     for batch in batches:
         for start in range(0, batch.num_rows, 512):

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: What separates words in every contract of this package: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Entries that a worker's word cache holds before it starts afresh.
-CACHE_WORDS = 200_000
 #: Hash ranges at most: at 100 TB a range then answers for 1.5 GB of text.
 MOST_RANGES = 1 << 16
 #: Rows beyond which a join key is hot, at least, and the most keys that can be.
@@ -138,25 +136,9 @@ def as_text(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column], F.lit(""))
 
 
-class WordHashes(dict):
-    """Word bytes to 64-bit hashes, computed once while the cache holds them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_HASHES = WordHashes()
-
-
-def forget_words() -> None:
-    _HASHES.clear()
-
-
 def hashed_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words.  Hashing takes less time than to look words up, so none are kept."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -169,7 +151,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _CACHES: dict[str, object] = {}
 
 
-def claim(name: str, clear) -> None:
+def claim(name: str, clear=lambda: None) -> None:
     """Says whose caches a worker is to hold from now on; those of other operators are cleared.
 
     Spark reuses its Python workers, so that without this a pipeline's workers
@@ -207,6 +189,18 @@ def tidy(run):
     return tidied
 
 
+def tidy_cogroup(run):
+    """A function over two groups after each of which its worker holds no freed memory, as a task's end isn't known to it."""
+
+    def tidied(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
     import pyarrow as pa

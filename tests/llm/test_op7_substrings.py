@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 from brute import without_repeats
 
-from tessera.llm import op7_substrings
+from tessera.llm import op7_substrings, shared
 from tessera.llm.packing import pack, unpack
 
 
@@ -77,3 +78,21 @@ def test_packing():
     arrays = [r.integers(0, 2**63, 50).astype(np.uint64), np.arange(9, dtype=np.uint32)[::-1].copy(), np.empty(0, np.uint32), r.integers(-5, 5, 7), np.array([1, 2], np.uint8)]
     for a, b in zip(arrays, unpack(pack(*arrays))):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_words_are_not_kept():
+    """A worker holds nothing of the words that it has hashed."""
+    tracemalloc.start()
+    found = shared.hashed_words([b"w%d" % i for i in range(50_000)])
+    assert len(set(found.tolist())) == len(found) and shared.hashed_words([b"w7"])[0] == found[7]
+    del found
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 1_000_000
+
+
+def test_memory_goes_back_after_each_group(monkeypatch):
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+    run = shared.tidy_cogroup(lambda left, right: left + right)
+    assert run(1, 2) + run(3, 4) == 10 and len(calls) == 2

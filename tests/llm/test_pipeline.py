@@ -7,6 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import corpus_pipeline as P
 from brute import classes, mix_targets, without_repeats, words
 
+from tessera.llm import op7_substrings
 from tessera.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -70,3 +71,15 @@ def test_nulls_and_repeated_rows(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         kept.append(sorted((r["doc_id"] for r in docs.collect()), key=str))
     assert kept == [[1, 1, 5, None], [1, None], [1, None]]
+
+
+def test_passages_hold_texts_once(spark, sf_dir, monkeypatch):
+    """What the stage stores and shuffles twice has no second copy of the texts; they come back as they were all the same."""
+    seen, real = [], op7_substrings.chunks
+    monkeypatch.setattr(op7_substrings, "chunks", lambda docs, size: seen.append(docs) or real(docs, size))
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" as it\n\nis ", None, "", f"a\n{passage}  b", f"c {passage}", passage]
+    docs = spark.createDataFrame([(i, t, "de", None, 9, 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, missing int")
+    got = {r["doc_id"]: (r["text"], r["lang"], r["source"], r["n_chars"]) for r in P.repeated_passages(spark, docs, sf_dir).collect()}
+    assert got == {0: (texts[0], "de", None, 11), 1: (None, "de", None, 0), 2: ("", "de", None, 0), 3: ("a\nb", "de", None, 3), 4: ("c ", "de", None, 2)}
+    assert all(list(r).count(r["text"]) == 1 for r in seen[0].where("doc_id in (0, 3)").collect())
