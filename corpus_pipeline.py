@@ -35,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of near copies the document with the smallest id stays; of rows that are repeated, one; rows without id."""
     kept = op2_jaccard.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     rows = docs.select(*COLUMNS)
-    rows = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    # Joined by a plain key, rows lie as dropping the repeated ones needs them, so that texts are shuffled once.
+    named = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(rows.where("doc_id IS NULL").dropDuplicates(["text"])).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,21 @@ def test_passages_hold_texts_once(spark, sf_dir, monkeypatch):
     got = {r["doc_id"]: (r["text"], r["lang"], r["source"], r["n_chars"]) for r in P.repeated_passages(spark, docs, sf_dir).collect()}
     assert got == {0: (texts[0], "de", None, 11), 1: (None, "de", None, 0), 2: ("", "de", None, 0), 3: ("a\nb", "de", None, 3), 4: ("c ", "de", None, 2)}
     assert all(list(r).count(r["text"]) == 1 for r in seen[0].where("doc_id in (0, 3)").collect())
+
+
+def test_near_duplicates_shuffles_texts_once(spark, sf_dir, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "a"), (None, "c")]
+    docs, _ = written(spark.createDataFrame([(i, t, "de", "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "test")
+    found, _ = written(spark.createDataFrame([(1, 1), (1, 1), (1, 1), (2, 1)] + [(None, None)] * 3, "doc_id long, component_id long"), "test")
+    monkeypatch.setattr(P.op2_jaccard, "classes", lambda docs: found)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.near_duplicates(spark, docs, sf_dir)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == [(1, "a"), (1, "b"), (None, "a"), (None, "c")]
+    # One each for the texts with an id, those without, and the ids that stay.
+    assert plan.count("Exchange hashpartitioning") == 3
